@@ -4,11 +4,11 @@ A word that may be written in disguise becomes a character lattice: leetspeak
 signs may stand for letters, masked characters for any letter, repeated
 letters for one or two, and spaced letters may belong together. Viterbi decoding finds
 the likeliest reading under a character 4-gram model counted over all
-documents. The restored words are then scored with a lexicon of words and word
-beginnings, learned by greedy set cover on a bounded sample of labelled
-documents: the entry that explains most toxic documents not yet explained is
-taken first, so that words which merely share documents with it (copies of one
-text, say) are left out.
+documents. The restored words are then looked up in a lexicon of words and word
+beginnings that are far more frequent in toxic documents, and boosted trees
+score a document from its hits: how many, how telling and how dense. Lexicon
+and trees are fitted on a bounded sample of labelled documents, of which near
+copies count once, as else whatever else they share would look toxic.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from . import gbt
 from .quality import held_out, train_rows
-from .staging import bounded_batches
+from .staging import WordHashes, bounded_batches, mix, shingle_set, stage
 
 #: Labelled rows used for fitting at most, and lexicon candidates weighed at most.
 MAX_TRAIN = 20_000
@@ -38,8 +39,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Signs that may mask any letter, and signs that may part letters.
 MASKS, PARTS = "*#", ".-_*~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Channel costs in nats: a sign read as a letter, a mask read as a letter, a dropped sign, a shortened run, a word break put in.
-SIGN, MASK, DROP, RUN, BREAK = 1.0, 3.3, 4.0, 0.7, 3.0
+#: Channel costs in nats: a sign read as a letter, a mask read as a letter, a dropped sign, a shortened run, a pair made single, a word break put in.
+SIGN, MASK, DROP, RUN, PAIR, BREAK = 1.0, 3.3, 4.0, 0.7, 2.5, 3.0
 #: The model's alphabet: 0 a break, 1-26 a letter without its accents, 27 any other letter.
 SIZE = 28
 
@@ -133,9 +134,9 @@ class Decoder:
                 j += 1
             n = j - i
             if ch.isalpha():
-                options = [(ch * n, 0.0)] + [(ch * m, RUN) for m in (1, 2) if m < n]
+                options = [(ch * n, 0.0)] + [(ch * m, RUN if n > 2 else PAIR) for m in (1, 2) if m < n]
             elif ch in LEET:
-                options = [(a * m, SIGN * n) for a in LEET[ch] for m in {1, min(n, 2)}] + [(" ", DROP)]
+                options = [(a * m, SIGN * n + (PAIR if m < n == 2 else 0.0)) for a in LEET[ch] for m in {1, min(n, 2)}] + [(" ", DROP)]
             elif ch in MASKS:
                 options = [(a, MASK) for a in LETTERS] + [(" ", DROP)]
             else:
@@ -157,46 +158,61 @@ def core_of(token: str) -> str:
     return token.strip(EDGE)
 
 
-def readings(token: str, decoder: Decoder) -> list[str]:
-    """The plain words that a lower-cased token may stand for, its own core first."""
+def disguised(token: str) -> str:
+    """What of a lower-cased token to decode: ``''`` if it reads as it stands."""
     core = core_of(token)
     if core.isalpha() and len(token) - len(core) <= 1 and not (token[0] in LEET or token[-1] in "$@"):
-        return [core, decoder.decode(core)] if RUNS.search(core) else [core]
-    out = [core] if core else []
+        return core if RUNS.search(core) else ""
     whole = token.strip(".,;:?\"'()[]{}") if len(token) - len(core) <= 2 else core
-    if len(whole) > 2 and any(c.isalpha() for c in whole):
-        if not whole.isalpha() or RUNS.search(whole):
-            out += decoder.decode(whole).split()
-    return out
+    if len(whole) > 2 and any(c.isalpha() for c in whole) and (not whole.isalpha() or RUNS.search(whole)):
+        return whole
+    return ""
 
 
 def features(word: str) -> list[str]:
-    """The word itself and its beginnings of 3 to 6 letters."""
-    return ["=" + word] + [word[:k] for k in range(3, 7) if len(word) > k] if len(word) > 1 else []
+    """The word itself and its beginnings of 3 to 8 letters."""
+    return ["=" + word] + [word[:k] for k in range(3, 9) if len(word) > k] if len(word) > 1 else []
+
+
+def squeezed(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
-@dataclass
 class Lexicon:
-    """Entries with their probability of toxicity, and that of a text without any."""
+    """Entries (``=word`` or a beginning) with the log of how much likelier they are in toxic documents."""
+
+    def __init__(self, weight: dict[str, float] | None = None):
+        self.weight = weight or {}
+        self.loose = {squeezed(f[1:]): (f, w) for f, w in self.weight.items() if f[0] == "="}
+
+    def best(self, words: list[str], restored: list[str]) -> tuple[str, float] | None:
+        """The most telling entry of these words; restored ones may differ in doubled letters."""
+        get = self.weight.get
+        found = [(get(f, 0.0), f) for w in (*words, *restored) for f in features(w)]
+        found += [(x[1], x[0]) for w in restored if (x := self.loose.get(squeezed(w)))]
+        w, f = max(found, default=(0.0, ""))
+        return (f, w) if w > 0 else None
+
 
-    weight: dict[str, float] = field(default_factory=dict)
-    prior: float = 0.5
+#: Occurrences of an entry in one document that count at most.
+CAP = 4
 
 
 class Reader(dict):
-    """Token -> the strongest lexicon entry among its readings; remembered up to a bound."""
+    """Token -> the lexicon entry it is read as, or None; remembered up to a bound."""
 
     LIMIT = 500_000
 
     def __init__(self, model: np.ndarray, lexicon: Lexicon | None = None):
         super().__init__()
-        self.decoder, self.lexicon = Decoder(model), lexicon
+        self.decoder, self.lexicon = Decoder(model), lexicon or Lexicon()
         self.runs: dict[str, list[str]] = {}
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, token: str) -> tuple[str, float] | None:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[token] = max([self.lexicon.weight.get(f, 0.0) for w in readings(token, self.decoder) for f in features(w)], default=0.0)
+        hidden, core = disguised(token), core_of(token)
+        value = self[token] = self.lexicon.best([core] if core else [], self.decoder.decode(hidden).split() if hidden else [])
         return value
 
     def spaced(self, text: str) -> list[str]:
@@ -211,118 +227,155 @@ class Reader(dict):
             out += self.runs[run]
         return out
 
-    def words(self, text: str | None) -> set[str]:
-        """All plain words of a text, read as they stand and restored."""
-        text = (text or "").lower()
-        found = {w for t in set(text.split()) for w in readings(t, self.decoder)}
-        return found | set(self.spaced(text))
+    def words(self, text: str | None) -> Counter:
+        """All plain words of a text as they stand, and those restored, with their counts."""
+        text, out = (text or "").lower(), Counter()
+        for token, n in Counter(text.split()).items():
+            hidden, core = disguised(token), core_of(token)
+            for w in {core, *(self.decoder.decode(hidden).split() if hidden else ())}:
+                if w:
+                    out[w] += n
+        out.update(self.spaced(text))
+        return out
 
-    def score(self, text: str | None) -> float:
+    def hits(self, text: str | None) -> list[float]:
+        """What the trees see of one whole text."""
         text = (text or "").lower()
-        weight = self.lexicon.weight
-        hits = [v for v in map(self.__getitem__, set(text.split())) if v]
-        hits += [v for w in self.spaced(text) for v in [max((weight.get(f, 0.0) for f in features(w)), default=0.0)] if v]
-        clean = 1 - self.lexicon.prior
-        for v in hits:
-            clean *= 1 - v
-        return 1 - clean
+        tokens = text.split()
+        found = [e for e in map(self.__getitem__, tokens) if e]
+        found += [e for w in self.spaced(text) if (e := self.lexicon.best([], [w]))]
+        n, by = max(1, len(tokens)), Counter(found)
+        total = sum(min(c, CAP) * w for (_, w), c in by.items())
+        return [total, total / n, max((w for _, w in by), default=0.0), float(len(by)), float(len(found)), len(found) / n, np.log(n)]
+
+
+N_HITS = 7
 
 
 def restore(text: str, decoder: Decoder) -> str:
-    """The text with disguised words replaced by what they are read as; all else stays."""
+    """The text, lower-cased, with disguised words replaced by what they are read as; all else stays."""
     low = SPACED.sub(lambda m: decoder.decode(re.sub(r"[ .\-_*~]", "", m[0]), spaced=True), text.lower())
-    out = []
-    for piece in re.split(r"(\s+)", low):
-        core = core_of(piece)
-        plain = not piece.strip() or core.isalpha() and not RUNS.search(core)
-        out.append(piece if plain else " ".join(readings(piece, decoder)[-1:]) or piece)
-    return "".join(out)
+    return "".join(decoder.decode(h) if piece.strip() and (h := disguised(piece)) else piece for piece in re.split(r"(\s+)", low))
 
 
-def cover(lists: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, size: np.ndarray, least: int = 2, precision: float = 0.8) -> tuple[list[int], int]:
-    """Greedy set cover: the entries taken, and how many documents are left without one.
+def distinct_rows(rows: DataFrame) -> set[int]:
+    """Ids of the labelled rows with one of each group of near copies: those with a MinHash of three-word shingles in common."""
 
-    ``lists`` holds each toxic document's candidates; ties go to the more
-    precise, then to the longer-lived entry (``size``: its letters).
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            marks = []
+            for text in b.column("text").to_pylist():
+                s = shingle_set((text or "").encode("utf-8", "surrogatepass"), 3, hashes)
+                marks.append([int(mix(s ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in (1, 2, 3)] if len(s) else [0, 0, 0])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "marks"])
+
+    kept, seen = set(), set()
+    got = rows.mapInArrow(smallest, "doc_id long, marks array<long>").toArrow().to_pydict()
+    for doc, marks in sorted(zip(got["doc_id"], got["marks"])):
+        if not any(x in seen for x in enumerate(marks)):
+            kept.add(doc)
+        seen.update(enumerate(marks))
+    return kept
+
+
+def choose(names: list[str], pos: np.ndarray, neg: np.ndarray, docs: np.ndarray, n_pos: float, n_neg: float) -> dict[str, float]:
+    """Entries whose counts could hardly come about by chance, with their weights.
+
+    ``pos`` and ``neg`` are occurrences in toxic and other documents (of
+    ``n_pos`` and ``n_neg`` words), ``docs`` toxic documents. The likelihood
+    ratio has to outweigh the number of candidates. The best go first; a
+    beginning and a word that it begins are not both taken.
     """
-    open_docs = np.ones(len(lists), bool)
-    if not len(pos) or not lists:
-        return [], int(open_docs.sum())
-    good = (pos + 0.5) / (pos + neg + 1) >= precision
-    lists = [x[good[x]] for x in lists]
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    taken = []
-    while True:
-        live = open_docs[owner]
-        gain = np.bincount(flat[live], minlength=len(pos)) * good
-        if gain.max(initial=0) < least:
-            return taken, int(open_docs.sum())
-        value = gain * (pos / (pos + neg))
-        best = int(np.lexsort((size, -neg, value))[-1])
-        taken.append(best)
-        open_docs[owner[flat == best]] = False
-
-
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = MAX_TRAIN) -> Lexicon:
-    """The lexicon for ``labels.toxic`` from at most ``max_train`` labelled rows."""
+    if not len(names) or not n_pos or not n_neg:
+        return {}
+    total, share = pos + neg, n_pos / (n_pos + n_neg)
+    ratio = pos * np.log(np.maximum(pos, 1e-9) / (total * share)) + np.where(neg > 0, neg * np.log(np.maximum(neg, 1e-9) / (total * (1 - share))), 0)
+    weight = np.log((pos + 0.5) / n_pos) - np.log((neg + 0.5) / n_neg)
+    good = np.flatnonzero((ratio > np.log(len(names)) + 4) & (weight > np.log(5)) & (docs >= 3))
+    taken: dict[str, float] = {}
+    begins: set[str] = set()
+    for k in sorted(good, key=lambda k: (-ratio[k], -len(names[k]), names[k])):
+        plain = names[k].lstrip("=")
+        if names[k] in begins or plain in begins and names[k][0] != "=" or any(plain[:j] in taken for j in range(3, len(plain) + 1)):
+            continue
+        taken[names[k]] = float(weight[k])
+        begins.update(plain[:j] for j in range(3, len(plain)))
+    return taken
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon = field(default_factory=Lexicon)
+    forest: gbt.Forest = field(default_factory=lambda: gbt.fit(np.zeros((0, N_HITS)), np.zeros(0)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = MAX_TRAIN) -> Model:
+    """Lexicon and trees for ``labels.toxic`` from at most ``max_train`` labelled rows."""
     spark = docs.sparkSession
-    rows = train_rows(docs, labels, "toxic", held_out(parts=5, part=0), max_train)
+    rows = stage(train_rows(docs, labels, "toxic", held_out(parts=5, part=0), max_train), "toxic-train")
     shared = spark.sparkContext.broadcast(model)  # 28^4 numbers
+    kept = spark.sparkContext.broadcast(distinct_rows(rows))  # at most max_train ids
+
+    def counted(text: str | None, reader: Reader) -> Counter:
+        n: Counter = Counter()
+        for w, c in reader.words(text).items():
+            for f in features(w):
+                n[f] += c
+        return n
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, n = Reader(shared.value), Counter()
+        reader, n, in_docs = Reader(shared.value), Counter(), Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
-                n.update({f for w in reader.words(text) for f in features(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
-
-    found = rows.where("y = 1").mapInArrow(candidates, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).select("f").toArrow()
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if doc in kept.value:
+                    mine = counted(text, reader)
+                    in_docs.update(mine.keys())
+                    n.update({f: min(c, CAP) for f, c in mine.items()})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([in_docs[f] for f in n], pa.int64())], ["f", "n", "docs"])
+
+    found = rows.where("y = 1").mapInArrow(candidates, "f string, n long, docs long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs >= 3").orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).toArrow()
     names = found.column("f").to_pylist()
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known, neg, n_neg = Reader(shared.value), index.value, Counter(), 0
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, known, n, size = Reader(shared.value), index.value, Counter(), [0, 0]
         for b in batches:
-            ids, lists = [], []
             for doc, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))):
-                mine = sorted({known[f] for w in reader.words(text) for f in features(w) if f in known})
-                if y:
-                    ids.append(doc)
-                    lists.append(mine)
-                else:
-                    neg.update(mine)
-                    n_neg += 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([None] * len(ids), pa.list_(pa.int64())), pa.array([None] * len(ids), pa.int64())], ["doc_id", "at", "n", "n_neg"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([list(neg)], pa.list_(pa.int32())), pa.array([list(neg.values())], pa.list_(pa.int64())), pa.array([n_neg], pa.int64())], ["doc_id", "at", "n", "n_neg"])
-
-    pos, neg, lists, n_neg = np.zeros(len(names)), np.zeros(len(names)), [], 0
-    got = rows.mapInArrow(present, "doc_id long, at array<int>, n array<long>, n_neg long")
-    for r in sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
-        at = np.array(r["at"], np.int64)
-        if r["n_neg"] is None:
-            lists.append(at)
-            pos[at] += 1
-        else:
-            n_neg += r["n_neg"]
-            neg[at] += np.array(r["n"], np.float64)
-    shared.unpersist()
-    index.unpersist()
-    if not lists and not n_neg:
-        return Lexicon()
-    taken, left = cover(lists, pos, neg, np.array([len(f) for f in names]))
-    return Lexicon({names[k]: float((pos[k] + 0.5) / (pos[k] + neg[k] + 1)) for k in taken}, float((left + 0.5) / (left + n_neg + 2)))
-
-
-def scorer(spark: SparkSession, model: np.ndarray, lexicon: Lexicon):
-    """A pandas UDF: text -> probability of label 1. The model and the lexicon have bounded sizes."""
+                if doc in kept.value:
+                    size[y] += len((text or "").split())
+                    if not y:
+                        n.update({known[f]: min(c, CAP) for f, c in counted(text, reader).items() if f in known})
+        n[-1], n[-2] = size[1], size[0]
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["at", "n"])
+
+    seen = {r["at"]: r["n"] for r in rows.mapInArrow(others, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    neg = np.array([seen.get(i, 0) for i in range(len(names))], float)
+    lexicon = Lexicon(choose(names, found.column("n").to_numpy().astype(float), neg, found.column("docs").to_numpy(), float(seen.get(-1, 0)), float(seen.get(-2, 0))))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value, lexicon)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([reader.hits(x) for x in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    got = rows.mapInArrow(shown, "doc_id long, y int, x array<double>").toArrow()
+    y, ids = got.column("y").to_numpy().astype(float), got.column("doc_id").to_numpy()
+    order = [k for k in np.lexsort((y, ids)) if ids[k] in kept.value]
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_HITS)[order]
+    for b in (shared, kept, index):
+        b.unpersist()
+    return Model(lexicon, gbt.fit(x, y[order], trees=60, depth=3, rate=0.15))
+
+
+def scorer(spark: SparkSession, model: np.ndarray, fitted: Model):
+    """A pandas UDF: text -> probability of label 1. All that it carries is of bounded size."""
     shared = spark.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(shared.value, lexicon)
+        reader = Reader(shared.value, fitted.lexicon)
         for part in texts:
-            yield pd.Series([reader.score(x) for x in part], dtype="float64")
+            yield pd.Series(fitted.forest.probability(np.array([reader.hits(x) for x in part], float).reshape(-1, N_HITS)))
 
     return score
 
@@ -343,8 +396,8 @@ def restorer(spark: SparkSession, model: np.ndarray):
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
-    Null and empty texts score the share of toxic documents among those
-    without a lexicon entry; without usable labels every score is 0.5.
+    Null and empty texts score as texts without a hit do; without usable
+    labels every score is 0.5.
     """
     docs = docs.select("doc_id", "text")
     model = char_model(count_ngrams(docs))
