@@ -55,6 +55,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for f in range(width)]
     codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     useful = [f for f in range(width) if codes[:, f].min() != codes[:, f].max()]
+    flags = [f for f in useful if codes[:, f].max() == 1]  # two bins: their histograms are one product
+    useful = [f for f in useful if codes[:, f].max() > 1]
+    flag = codes[:, flags].astype(float)
     score = np.full(n, base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
@@ -78,6 +81,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
                 top = gain[np.arange(width_now), k]
                 better = top > best + 1e-9
                 best[better], where[better, 0], where[better, 1] = top[better], f, k[better]
+            if flags:
+                mine = (node == np.arange(width_now)[:, None]).astype(float)
+                right_g, right_h, right_n = (mine * g) @ flag, (mine * h) @ flag, mine @ flag
+                left_g, left_h, left_n = total_g[:, None] - right_g, total_h[:, None] - right_h, mine.sum(axis=1)[:, None] - right_n
+                gain = left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2) - parent[:, None]
+                gain[(left_n < min_rows) | (right_n < min_rows)] = 0
+                k = gain.argmax(axis=1)
+                top = gain[np.arange(width_now), k]
+                better = top > best + 1e-9
+                where[better, 0], where[better, 1] = np.array(flags)[k[better]], 0
             right = np.zeros(n, np.int64)
             for j in np.flatnonzero(where[:, 0] >= 0):
                 f, k = where[j]

@@ -57,10 +57,12 @@ CUT_NAMES = {
 }
 TOKENS = sorted({*CONTENT_NAMES, *(x for v in CUT_NAMES.values() for x in v)})
 TOKEN_AT = {x: i for i, x in enumerate(TOKENS)}
+KINDS = [CONTENT_NAMES, *CUT_NAMES.values()]
+KINDS_OF = [[k for k, names in enumerate(KINDS) if x in names] for x in TOKENS]
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "tokens", "holders", "own", "own_links", "text", "links", "tags", "kids", "at", "marks", "same")
+    __slots__ = ("tag", "parent", "depth", "tokens", "holders", "near", "own", "own_links", "text", "links", "tags", "kids", "at", "marks", "same")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str):
         self.tag, self.parent = tag, parent
@@ -68,6 +70,7 @@ class Node:
         found = {w.lower() for m in _ATTRS.finditer(attrs) for v in m.groups()[1:] if v for w in _WORDS.findall(v)} if attrs else ()
         mine = [TOKEN_AT[w] for w in found if w in TOKEN_AT]
         self.tokens = (parent.tokens if parent else frozenset()) | frozenset(mine) if mine else parent.tokens if parent else frozenset()
+        self.near = frozenset(mine) if mine else parent.near if parent else frozenset()  # of the closest marked element
         self.holders = parent.holders if parent else ()
         if tag in HOLDERS:
             self.holders = (*self.holders, tag)
@@ -174,7 +177,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 
 
 N_PLAIN = 20
-WIDTH = N_PLAIN + len(TAGS) + len(HOLDERS) + len(TOKENS)
+WIDTH = N_PLAIN + len(TAGS) + 2 * len(HOLDERS) + len(TOKENS) + 2 * len(KINDS) + 2
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -199,6 +202,15 @@ def features(nodes: list[Node]) -> np.ndarray:
             x[i, N_PLAIN + len(TAGS) + HOLDERS.index(h)] = 1
         for t in n.tokens:
             x[i, N_PLAIN + len(TAGS) + len(HOLDERS) + t] = 1
+        rest = N_PLAIN + len(TAGS) + len(HOLDERS) + len(TOKENS)
+        for at, tokens in ((rest, n.tokens), (rest + len(KINDS) + 1, n.near)):  # kinds of mark, of all ancestors and of the closest
+            for t in tokens:
+                for k in KINDS_OF[t]:
+                    x[i, at + k] = 1
+                    if k:
+                        x[i, at + len(KINDS)] = 1  # any that is cut
+        if n.holders:
+            x[i, rest + 2 * len(KINDS) + 2 + HOLDERS.index(n.holders[-1])] = 1
     return x
 
 
@@ -266,9 +278,9 @@ def layout(seed: int) -> tuple[str, set[str]]:
             continue
         texts.add(text)
         article.append({"p": r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}"]), "td": f"<table><tr><td>{text}</td></tr></table>"}.get(tag, f"<{tag}>{text}</{tag}>"))
-    for kind in r.sample(["ad", "aside", "share", "form", "notice", "nav"], r.randint(0, 2)):
+    for kind in r.sample(["ad", "aside", "share", "form", "notice", "nav"], r.choice([0, 1, 1, 2, 3])):
         article.insert(r.randint(0, len(article)), cut(kind))
-    if r.random() < 0.15:
+    if r.random() < 0.25:
         article.append(cut("comments"))
     start, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("content"), named("content"), ("<div>", "</div>"), ("<section>", "</section>")])
     before = [cut(k) for k in r.sample(["nav", "header", "notice", "ad", "aside", "form", "nav"], r.randint(0, 4))]
