@@ -77,7 +77,10 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for text in b.column(0).to_pylist():
                 s = symbols(f"   {text.lower()} ") if text else ()
                 if len(s):
-                    codes = ((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:]
+                    last = s[2:-1]  # nothing before a break counts as context
+                    second = np.where(last > 0, s[1:-2], 0)
+                    third = np.where(second > 0, s[:-3], 0)
+                    codes = ((third * SIZE + second) * SIZE + last) * SIZE + s[3:]
                     if len(codes) > SIZE**3:
                         total += np.bincount(codes, minlength=SIZE**4)
                     else:
@@ -118,7 +121,7 @@ class Decoder:
                     sym = symbol(ch)
                     code = k * SIZE + sym
                     s += flat[code]
-                    k = code % SIZE**3
+                    k = code % SIZE**3 if sym else 0
                 if k not in new or new[k][0] < s:
                     new[k] = (s, text + out)
         if len(new) > self.beam:  # only masks make so many histories

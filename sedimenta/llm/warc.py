@@ -30,6 +30,8 @@ ARCHIVE_BYTES = 64 << 20
 #: A member or record beyond this size is quarantined instead of read into memory.
 RECORD_BYTES = 512 << 20
 CHUNK = 1 << 20
+#: Headers longer than this have no end.
+HEAD_BYTES = 1 << 20
 MIN_REVISIT = 1000
 #: Fixed value: the profile of revisit records for equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -198,7 +200,7 @@ def records(stream, most: int = RECORD_BYTES) -> Iterator[tuple[str, int, int, d
                 while end_of_head is None:
                     k = w.buf.find(b"\r\n\r\n")
                     end_of_head = k if k >= 0 else None
-                    if end_of_head is None and (len(w.buf) > CHUNK or not w.fill(w.base + len(w.buf) + 1)):
+                    if end_of_head is None and (len(w.buf) > HEAD_BYTES or not w.fill(w.base + len(w.buf) + 1)):
                         raise Bad("headers have no end")
                 told = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", w.buf[: end_of_head + 2])
                 size = end_of_head + 8 + (int(told[1]) if told else 0)
