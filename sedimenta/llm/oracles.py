@@ -76,7 +76,7 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR 4 * n_symbols > n_words OR 10 * n_dup_lines > 3 * greatest(1, n_lines)) AS kept
+    OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM base
 """
 

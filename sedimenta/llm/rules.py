@@ -93,7 +93,7 @@ RULES = (
     Rule("too_few_words", lambda s: s.n_words < 10),
     Rule("word_length", lambda s: not 2 * s.n_words <= s.word_chars <= 20 * s.n_words),
     Rule("symbols", lambda s: 4 * s.n_symbols > s.n_words),
-    Rule("duplicate_lines", lambda s: 10 * s.n_dup_lines > 3 * max(1, len(s.lines))),
+    Rule("duplicate_lines", lambda s: 2 * s.n_dup_lines > len(s.lines)),
     Rule("repeated_windows", lambda s: 100 * s.n_repeat_words > 20 * s.n_words),
 )
 
