@@ -150,8 +150,10 @@ def prepare_updates(spark, d):
 def _waves(spark, d) -> list[tuple[int, DataFrame]]:
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("st"))
     latest = cdc.latest_per_key(o, ["o_custkey", "y"], ["o_orderdate", "o_orderkey"]).withColumn("_record_hash", S.row_hash(["o_custkey", "st"]))
-    years = [r["y"] for r in o.select("y").distinct().orderBy("y").collect()]  # a handful of waves
-    return [(y, latest.where(F.col("y") == y).select("o_custkey", "st", "_record_hash", "y")) for y in years]
+    path = storage.scratch(spark, "waves")
+    latest.select("o_custkey", "st", "_record_hash", "y").write.partitionBy("y").parquet(path)
+    years = sorted(int(x.split("=")[1]) for x in storage.children(spark, path) if x.startswith("y="))  # a handful of waves
+    return [(y, spark.read.schema("o_custkey bigint, st string, _record_hash string").parquet(f"{path}/y={y}")) for y in years]
 
 
 def _start_of(year: int):
@@ -159,12 +161,11 @@ def _start_of(year: int):
 
 
 def _history(spark, waves) -> Table | None:
-    table = Table(spark, storage.scratch(spark, "scd2"), "history")
+    table = Table(spark, storage.scratch(spark, "scd2"), "history", ("o_custkey",), 4)
     for y, wave in waves:
-        wave = wave.drop("y")
         if not table.exists():
             table.create_like(wave.select("*", _start_of(y).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(True).alias("is_current")))
-        table.overwrite(cdc.scd2_merge(table.read(), wave, ["o_custkey"], run_ts=_start_of(y)))
+        table.merge(wave, lambda target, source, y=y: cdc.scd2_merge(target, source, ["o_custkey"], run_ts=_start_of(y)))
     return table
 
 
@@ -176,11 +177,11 @@ def classify_changes(spark, d):
 
 
 def scd1_state(spark, d):
-    table = Table(spark, storage.scratch(spark, "scd1"), "curated")
+    table = Table(spark, storage.scratch(spark, "scd1"), "curated", ("o_custkey",), 4)
     for y, wave in _waves(spark, d):
-        wave = wave.withColumn("created", F.lit(y)).drop("y")
+        wave = wave.withColumn("created", F.lit(y))
         table.create_like(wave)
-        table.overwrite(cdc.scd1_merge(table.read(), wave, ["o_custkey"], keep=("created",)))
+        table.merge(wave, lambda target, source: cdc.scd1_merge(target, source, ["o_custkey"], keep=("created",)))
     return table.read().select("o_custkey", "st", "created")
 
 

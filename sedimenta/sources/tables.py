@@ -5,6 +5,10 @@
 atomic publication and a table can be rewritten from itself. The schema is
 kept beside the data, so readers merge no footers and columns added later read
 as null in older files.
+
+A table with ``keys`` and ``buckets`` is laid out in hash buckets of the keys;
+a small manifest names the version that holds each bucket. Its merges read and
+rewrite only the buckets that their source touches.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,6 +30,8 @@ class Table:
     spark: SparkSession
     root: str
     name: str
+    keys: tuple[str, ...] = ()
+    buckets: int = 0
 
     @property
     def path(self) -> str:
@@ -56,7 +62,43 @@ class Table:
 
     def read(self) -> DataFrame:
         live = self._need()
-        return self.spark.read.schema(self.schema()).parquet(live)
+        return self._of_buckets(self.manifest()) if self.buckets else self.spark.read.schema(self.schema()).parquet(live)
+
+    def manifest(self) -> dict[str, str]:
+        """Bucket -> folder, of the buckets that have rows."""
+        return json.loads(storage.read_text(self.spark, f"{self._need()}/_manifest.json") or "{}")
+
+    def _of_buckets(self, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{x}" for x in folders.values()]
+        return self.spark.read.schema(self.schema()).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def merge(self, source: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> "Table":
+        """Publishes ``step(target, source)`` where target is the buckets that ``source`` has keys in; others stay as they are.
+
+        ``step`` has to keep rows in their buckets, as merges on ``keys`` do.
+        A null key has a bucket too. Columns that ``step`` adds are taken in.
+        """
+        touched = {str(r[0]) for r in source.select(self._bucket()).distinct().collect()}  # at most ``buckets`` numbers
+        old = self.manifest()
+        merged = step(self._of_buckets({b: x for b, x in old.items() if b in touched}), source)
+        return self._publish(merged, {b: x for b, x in old.items() if b not in touched})
+
+    def _publish(self, df: DataFrame, others: dict[str, str]) -> "Table":
+        target = self._next()
+        if self.buckets:
+            dealt = df.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket")
+            dealt.write.mode("errorifexists").partitionBy("_bucket").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(target)
+            version = target.rsplit("/", 1)[1]
+            mine = {x.split("=")[1]: f"{version}/{x}" for x in storage.children(self.spark, target) if x.startswith("_bucket=")}
+            storage.write_text(self.spark, f"{target}/_manifest.json", json.dumps(others | mine))
+        else:
+            df.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(target)
+        storage.write_text(self.spark, f"{target}/_schema.json", df.schema.json())
+        storage.write_text(self.spark, f"{target}/_SUCCESS", "")
+        return self
 
     def view(self, alias: str | None = None) -> str:
         """Registers the live version as a temporary view for SQL."""
@@ -65,18 +107,16 @@ class Table:
 
     def overwrite(self, df: DataFrame, arrange: Callable[[DataFrame], DataFrame] | None = None) -> "Table":
         """Publishes ``df`` as the next version, with its schema."""
-        target = self._next()
-        (arrange(df) if arrange else df).write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(target)
-        storage.write_text(self.spark, f"{target}/_schema.json", df.schema.json())
-        storage.write_text(self.spark, f"{target}/_SUCCESS", "")
-        return self
+        return self._publish(arrange(df) if arrange else df, {})
 
     def create_like(self, df: DataFrame) -> "Table":
         """An empty table with the schema of ``df``, unless the table exists."""
         return self if self.exists() else self.overwrite(df.limit(0))
 
     def append(self, df: DataFrame, evolve: bool = False) -> "Table":
-        """Adds rows. Unknown columns are rejected, or added if ``evolve``; either way nothing is written on error."""
+        """Adds rows; tables in buckets are merged into instead. Unknown columns are rejected, or added if ``evolve``; either way nothing is written on error."""
+        if self.buckets:
+            raise ValueError("a table in buckets takes rows by merge")
         live, schema = self._need(), self.schema()
         if evolve:
             schema = widened_schema(schema, df.schema)

@@ -69,6 +69,23 @@ def test_scd2_waves_equal_one_pass(spark):
     assert quality.duplicate_keys(table.read(), ["k"], F.col("is_current")).isEmpty()
 
 
+def test_merge_rewrites_touched_buckets_only(spark):
+    table = Table(spark, storage.scratch(spark, "t"), "b", ("k",), 16)
+    rows_of = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v string").withColumn("_record_hash", row_hash(["k", "v"])).withColumn("created", F.lit(v))
+    step = lambda t, s: cdc.scd1_merge(t, s, ["k"], keep=("created",))
+    table.overwrite(rows_of(range(200), "a"))
+    before = table.manifest()
+    table.merge(rows_of([3, 500], "b"), step)
+    after = table.manifest()
+    assert 1 <= sum(before.get(b) != after[b] for b in after) <= 2
+    got = {r["k"]: (r["v"], r["created"]) for r in table.read().collect()}
+    assert len(got) == 201 and got[3] == ("b", "a") and got[500] == ("b", "b") and got[4] == ("a", "a")
+    table.merge(rows_of([3], "c").withColumn("lang", F.lit("en")), step)
+    assert {r["k"]: r["lang"] for r in table.read().collect()}[3] == "en" and table.read().count() == 201
+    with pytest.raises(ValueError):
+        table.append(rows_of([1], "x"))
+
+
 def test_classify(spark):
     history = spark.createDataFrame([("a", "h1", True), ("b", "h1", True), ("c", "h1", False)], "k string, _record_hash string, is_current boolean")
     source = spark.createDataFrame([("a", "h2"), ("b", "h1"), ("c", "h1")], "k string, _record_hash string")
