@@ -18,9 +18,16 @@ from .staging import stage
 #: Rates tables with at most this many sources are broadcast; larger ones are joined with salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-#: No source's mean number of copies exceeds this; the terms below cover it to 1e-15.
+#: No source's mean number of copies exceeds this by default: a document repeated more often teaches little.
 MAX_RATE = 16.0
-TERMS = 80
+
+
+def terms(max_rate: float) -> int:
+    """How many terms of the distribution function reach 1 to double precision."""
+    return int(max_rate + 10 * max_rate**0.5 + 24)
+
+
+TERMS = terms(MAX_RATE)
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -29,8 +36,8 @@ def uniform(seed: int, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source") -> DataFrame:
-    """``(source, n_docs, weight, rate)``; rate = total * weight / n_docs, at most ``MAX_RATE``.
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """``(source, n_docs, weight, rate)``; rate = total * weight / n_docs, at most ``max_rate``.
 
     ``weights`` gives each source's share of the mixture (scaled to sum to 1;
     sources without one get none). Without weights every source weighs alike.
@@ -48,27 +55,28 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     wanted = F.lit(float(total)) if total is not None else F.col("all_docs").cast("double")
     weight = F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share")).otherwise(0.0)
     return shares.select("source", "n_docs", weight.alias("weight")).join(F.broadcast(sums), F.lit(True)).select(
-        "source", "n_docs", "weight", F.least(F.lit(MAX_RATE), wanted * F.col("weight") / F.col("n_docs")).alias("rate")
+        "source", "n_docs", "weight", F.least(F.lit(float(max_rate)), wanted * F.col("weight") / F.col("n_docs")).alias("rate")
     )
 
 
-def with_cdf(rates: DataFrame) -> DataFrame:
+def with_cdf(rates: DataFrame, n: int = TERMS) -> DataFrame:
     """Adds ``cdf``: the Poisson distribution function at 0, 1, 2, ... for each rate."""
     step = "struct(acc.term * rate / k AS term, acc.total + acc.term * rate / k AS total, array_append(acc.cdf, acc.total + acc.term * rate / k) AS cdf)"
-    fold = f"aggregate(sequence(1, {TERMS}), struct(exp(-rate) AS term, exp(-rate) AS total, array(exp(-rate)) AS cdf), (acc, k) -> {step}).cdf"
+    fold = f"aggregate(sequence(1, {n}), struct(exp(-rate) AS term, exp(-rate) AS total, array(exp(-rate)) AS cdf), (acc, k) -> {step}).cdf"
     return rates.withColumn("cdf", F.expr(fold))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """``docs`` replicated to the target weights and globally shuffled.
 
-    All columns stay; ``copy`` (from 0) and ``shuffle_key`` are added, and the
-    rows are sorted by ``shuffle_key`` within partitions that it was dealt to.
+    All columns stay; ``copy`` (from 0) and ``shuffle_key`` are added (or take
+    the place of columns so named), and the rows are sorted by ``shuffle_key``
+    within partitions that it was dealt to. ``max_rate`` has to stay under 600.
     A null source is a source of its own (weighed under the plain default, out
     of a given ``weights``). A null id hashes as the empty text. Rows that
     repeat an id get equal counts. Ties of ``shuffle_key`` keep no set order.
     """
-    rates = stage(with_cdf(source_rates(docs, weights, total, source_col)), "mix-rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    rates = stage(with_cdf(source_rates(docs, weights, total, source_col, max_rate), terms(max_rate)), "mix-rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
     keyed = docs.withColumn("__u", uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     if rates.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))

@@ -61,3 +61,10 @@ def test_mixing_edges(spark, monkeypatch):
     monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
     assert Counter(tuple(r)[:3] for r in M.mix_sources(df).collect()) == same
     assert M.mix_sources(df.limit(0)).collect() == [] and M.mix_sources(df, {"zz": 1}).collect() == [] and M.mix_sources(df, {}).collect() == []
+
+
+def test_mixing_takes_high_rates(spark):
+    df = spark.createDataFrame([(i, "a" if i else "b") for i in range(400)], "doc_id long, source string")
+    got = Counter(r["source"] for r in M.mix_sources(df, max_rate=400.0).collect())
+    assert 140 < got["a"] < 260 and 140 < got["b"] < 260
+    assert Counter(r["source"] for r in M.mix_sources(df).collect())["b"] == brute.poisson_copies(0, 16.0)
