@@ -81,11 +81,12 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, most: int) -> DataFrame:
     """``(doc_id, text, y)`` of at most ``most`` labelled documents that are not held out.
 
-    The bound holds for the broadcast label rows and, again, for the rows found.
+    The bound holds for the label rows, which are broadcast. Ids that repeat in
+    ``docs`` can give more rows; callers bound what they collect of them.
     """
     known = labels.select(F.col("doc_id").alias("__doc"), F.col(label).alias("y"), out.alias("out")).where(F.col("__doc").isNotNull() & F.col("y").isin(0, 1) & ~F.col("out"))
     picked = known.select("__doc", "y").orderBy(F.xxhash64("__doc"), "__doc", "y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", F.col("y").cast("int").alias("y")).limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **trees) -> gbt.Forest:
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **trees)
             x = matrix(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = train_rows(docs, labels, "quality", held_out(), max_train).mapInArrow(features, "doc_id long, y int, x array<double>").toArrow()
+    rows = train_rows(docs, labels, "quality", held_out(), max_train).mapInArrow(features, "doc_id long, y int, x array<double>").limit(max_train).toArrow()
     order = np.lexsort((rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()))  # the same trees from any partitioning
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)[order]
     return gbt.fit(x, rows.column("y").to_numpy().astype(float)[order], **trees)

@@ -261,7 +261,7 @@ def restore(text: str, decoder: Decoder) -> str:
     return "".join(decoder.decode(h) if piece.strip() and (h := disguised(piece)) else piece for piece in re.split(r"(\s+)", low))
 
 
-def distinct_rows(rows: DataFrame) -> set[int]:
+def distinct_rows(rows: DataFrame, most: int) -> set[int]:
     """Ids of the labelled rows with one of each group of near copies: those with a MinHash of three-word shingles in common."""
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def distinct_rows(rows: DataFrame) -> set[int]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "marks"])
 
     kept, seen = set(), set()
-    got = rows.mapInArrow(smallest, "doc_id long, marks array<long>").toArrow().to_pydict()
+    got = rows.mapInArrow(smallest, "doc_id long, marks array<long>").limit(most).toArrow().to_pydict()
     for doc, marks in sorted(zip(got["doc_id"], got["marks"])):
         if not any(x in seen for x in enumerate(marks)):
             kept.add(doc)
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
     spark = docs.sparkSession
     rows = stage(train_rows(docs, labels, "toxic", held_out(parts=5, part=0), max_train), "toxic-train")
     shared = spark.sparkContext.broadcast(model)  # 28^4 numbers
-    kept = spark.sparkContext.broadcast(distinct_rows(rows))  # at most max_train ids
+    kept = spark.sparkContext.broadcast(distinct_rows(rows, max_train))  # at most max_train ids
 
     def counted(text: str | None, reader: Reader) -> Counter:
         n: Counter = Counter()
@@ -361,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([reader.hits(x) for x in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(shown, "doc_id long, y int, x array<double>").toArrow()
+    got = rows.mapInArrow(shown, "doc_id long, y int, x array<double>").limit(max_train).toArrow()
     y, ids = got.column("y").to_numpy().astype(float), got.column("doc_id").to_numpy()
     order = [k for k in np.lexsort((y, ids)) if ids[k] in kept.value]
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_HITS)[order]
