@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bounded_batches
+from .staging import bounded_batches, hash_sample
 
 #: Texts that costs and selectivities are estimated on at most, in hash order.
 SAMPLE = 1_000
@@ -112,7 +112,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
                     cost[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "cost": cost, "rejected": rejected, "n": [n] * len(rules)})
 
-    picked = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).orderBy("h").limit(sample).select("text")
+    keys = [text_col] if "doc_id" not in docs.columns else ["doc_id", text_col]  # copies of a text are apart by their ids
+    picked = hash_sample(docs.select(*keys), sample, *keys).select(text_col)
     found = picked.mapInArrow(measure, "rule long, cost double, rejected long, n long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
     rate = {r["rule"]: (r["rejected"] / max(1, r["n"])) / max(1e-9, r["cost"] / max(1, r["n"])) for r in found}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate.get(k, 0.0), rules[k].name))]
