@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .staging import bounded_batches
+from .staging import bounded_batches, hash_sample
 
 MAX_TRAIN_PAGES = 300
 
@@ -301,7 +301,7 @@ def weak_labels(nodes: list[Node]) -> list[int] | None:
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> gbt.Forest:
-    picked = pages.select(F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("html").alias("h")).orderBy("h", "html").limit(max_pages).select("html")
+    picked = hash_sample(pages.select(F.coalesce("html", F.lit("")).alias("html")), max_pages, "html").distinct().orderBy("html").limit(max_pages)
     xs, ys, ws = [], [], []
     for k, source in enumerate([*(r["html"] for r in picked.toLocalIterator()), *[None] * max_pages]):
         source, texts = (source, None) if source is not None else layout(k)
