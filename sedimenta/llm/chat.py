@@ -89,13 +89,15 @@ def format_branches(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     nodes = nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     nodes = stage(nodes.where(F.col("node").isNotNull()).groupBy("tree", "node").agg(F.min(F.struct("role", "text", "score", "parent")).alias("n")).select("tree", "node", "n.parent", "n.role", "n.text", "n.score"), "chat-turns")
     paths = leaf_paths(nodes)
-    held = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), "role", "text", "score")
-    full = paths.join(held, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p"))).drop("t", "p")
-    if per_tree is not None:
-        scores = full.groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
+    on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p"))
+    if per_tree is not None:  # ranked on ids and scores, before any text is moved
+        points = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), "score")
+        scores = paths.join(points, on).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
-        best = scores.withColumn("rank", rank).where(F.col("rank") <= per_tree).select(F.col("tree").alias("t"), F.col("leaf").alias("l"))
-        full = full.join(best, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
+        best = scores.withColumn("rank", rank).where(F.col("rank") <= per_tree).select(F.col("tree").alias("u"), F.col("leaf").alias("l"))
+        paths = paths.join(best, F.col("tree").eqNullSafe(F.col("u")) & (F.col("leaf") == F.col("l")), "left_semi")
+    held = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), "role", "text", "score")
+    full = paths.join(held, on).drop("t", "p")
     turns = full.groupBy("tree", "leaf").agg(
         F.sum("score").alias("branch_score"),
         F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text")))).alias("turns"),
