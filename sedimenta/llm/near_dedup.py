@@ -116,7 +116,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = stage(large, "links-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         now = stage(small, "links-small")
@@ -222,9 +221,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = stage(sketches(docs, size), "sketches")
     nodes, comps = find_links(docs, sk, size, percent)
-    named = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = named.join(smallest, "comp").select(F.col("node").alias("x"), "component_id")
+    named = nodes.select("node", "rep").join(comps, "node", "left")
+    smallest = small_side(stage(named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest"))
+    named = named.withColumn("comp", F.coalesce("comp", "node"))  # a node without links is its own component
+    ids = named.join(smallest, "comp", "left").select(F.col("node").alias("x"), F.coalesce("component_id", "rep").alias("component_id"))
+    ids = stage(ids, "component-ids")  # on its own, the join below can split a large group of equal texts
     out = sk.select("doc_id", "n", "node").join(ids, F.col("node") == F.col("x"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
