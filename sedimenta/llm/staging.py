@@ -91,7 +91,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
