@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -105,11 +106,37 @@ def char_model(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of one disguised word or run of spaced letters."""
+    """Viterbi decoding of one disguised word or run of spaced letters; tokens read before are remembered up to a bound."""
+
+    LIMIT = 200_000
 
     def __init__(self, model: np.ndarray, beam: int = 400):
         self.flat = model.reshape(-1).tolist()
         self.beam = beam
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.runs: dict[str, list[str]] = {}
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """A lower-cased token's core as it stands (or ``''``), then the words it is restored to if it is disguised."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            hidden = disguised(token)
+            found = self.known[token] = (core_of(token), *(self.decode(hidden).split() if hidden else ()))
+        return found
+
+    def spaced(self, text: str) -> list[str]:
+        """Words restored from a lower-cased text's runs of spaced letters."""
+        out = []
+        for m in SPACED.finditer(text):
+            run = re.sub(r"(?<=[\w@$!|+€*])[ .\-_*~](?=[\w@$!|+€*])", "", m[0])
+            if len(self.runs) >= 50_000:
+                self.runs.clear()
+            if run not in self.runs:
+                self.runs[run] = self.decode(run, spaced=True).split() if len(set(run)) > 2 else []
+            out += self.runs[run]
+        return out
 
     def step(self, states: dict, options: list[tuple[str, float]]) -> dict:
         """States are the last three symbols; an option is what a sign is read as, and its cost."""
@@ -151,6 +178,18 @@ class Decoder:
         return max(self.step(states, [(" ", 0.0)]).values())[1].strip()
 
 
+_decoders: dict[int, Decoder] = {}
+
+
+def decoder_of(model: np.ndarray) -> Decoder:
+    """The last decoder of this worker, with what it remembers, if it has the same model."""
+    key = zlib.crc32(model.tobytes())
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(model)
+    return _decoders[key]
+
+
 #: Three or more single letters or signs with one separator between each two.
 SPACED = re.compile(r"(?<!\S)[\w@$!|+€](?:[ .\-_*~][\w@$!|+€*]){2,}(?![^\s.,;:!?])")
 RUNS = re.compile(r"([^\W\d_])\1\1")
@@ -204,41 +243,27 @@ CAP = 4
 class Reader(dict):
     """Token -> the lexicon entry it is read as, or None; remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, model: np.ndarray, lexicon: Lexicon | None = None):
         super().__init__()
-        self.decoder, self.lexicon = Decoder(model), lexicon or Lexicon()
-        self.runs: dict[str, list[str]] = {}
+        self.decoder, self.lexicon = decoder_of(model), lexicon or Lexicon()
 
     def __missing__(self, token: str) -> tuple[str, float] | None:
         if len(self) >= self.LIMIT:
             self.clear()
-        hidden, core = disguised(token), core_of(token)
-        value = self[token] = self.lexicon.best([core] if core else [], self.decoder.decode(hidden).split() if hidden else [])
+        core, *restored = self.decoder.readings(token)
+        value = self[token] = self.lexicon.best([core], restored)
         return value
 
-    def spaced(self, text: str) -> list[str]:
-        """Words restored from runs of spaced letters."""
-        out = []
-        for m in SPACED.finditer(text):
-            run = re.sub(r"(?<=[\w@$!|+€*])[ .\-_*~](?=[\w@$!|+€*])", "", m[0])
-            if len(self.runs) >= 50_000:
-                self.runs.clear()
-            if run not in self.runs:
-                self.runs[run] = self.decoder.decode(run, spaced=True).split() if len(set(run)) > 2 else []
-            out += self.runs[run]
-        return out
-
     def words(self, text: str | None) -> Counter:
         """All plain words of a text as they stand, and those restored, with their counts."""
         text, out = (text or "").lower(), Counter()
         for token, n in Counter(text.split()).items():
-            hidden, core = disguised(token), core_of(token)
-            for w in {core, *(self.decoder.decode(hidden).split() if hidden else ())}:
+            for w in set(self.decoder.readings(token)):
                 if w:
                     out[w] += n
-        out.update(self.spaced(text))
+        out.update(self.decoder.spaced(text))
         return out
 
     def hits(self, text: str | None) -> list[float]:
@@ -246,7 +271,7 @@ class Reader(dict):
         text = (text or "").lower()
         tokens = text.split()
         found = [e for e in map(self.__getitem__, tokens) if e]
-        found += [e for w in self.spaced(text) if (e := self.lexicon.best([], [w]))]
+        found += [e for w in self.decoder.spaced(text) if (e := self.lexicon.best([], [w]))]
         n, by = max(1, len(tokens)), Counter(found)
         total = sum(min(c, CAP) * w for (_, w), c in by.items())
         return [total, total / n, max((w for _, w in by), default=0.0), float(len(by)), float(len(found)), len(found) / n, np.log(n)]
@@ -389,7 +414,7 @@ def restorer(spark: SparkSession, model: np.ndarray):
 
     @pandas_udf("string")
     def restored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = Decoder(shared.value)
+        decoder = decoder_of(shared.value)
         for part in texts:
             yield part.map(lambda x: restore(x, decoder) if x else x)
 
