@@ -50,13 +50,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, v in weights.items()])
         share = F.map_from_entries(pairs)[F.col("source")] if weights else F.lit(0.0)
         shares = counts.withColumn("share", F.coalesce(share, F.lit(0.0)))
-    sums = shares.agg(F.sum("share").alias("all_share"), F.sum("n_docs").alias("all_docs"))  # one row
-    shares = shares.join(F.broadcast(sums), F.lit(True))
-    wanted = F.lit(float(total)) if total is not None else F.col("all_docs").cast("double")
-    weight = F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share")).otherwise(0.0)
-    return shares.select("source", "n_docs", weight.alias("weight")).join(F.broadcast(sums), F.lit(True)).select(
-        "source", "n_docs", "weight", F.least(F.lit(float(max_rate)), wanted * F.col("weight") / F.col("n_docs")).alias("rate")
-    )
+    shares = stage(shares, "mix-shares")  # a row for each source
+    all_share, all_docs = shares.agg(F.sum("share"), F.sum("n_docs")).first()
+    weight = F.col("share") / F.lit(float(all_share)) if all_share else F.lit(0.0)
+    wanted = float(total if total is not None else all_docs or 0)
+    rate = F.least(F.lit(float(max_rate)), F.lit(wanted) * F.col("weight") / F.col("n_docs"))
+    return shares.select("source", "n_docs", weight.alias("weight")).withColumn("rate", rate)
 
 
 def with_cdf(rates: DataFrame, n: int = TERMS) -> DataFrame:
