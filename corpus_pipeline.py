@@ -40,7 +40,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources in equal shares."""
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(docs, max_rate=None)
 
 
 STAGES = [

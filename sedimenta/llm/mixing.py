@@ -4,7 +4,9 @@ Each source has a repetition rate: the mean number of copies of one of its
 documents. A document's number of copies is the inverse of the Poisson
 distribution function with that mean at a uniform number hashed from the seed
 and the document id, so it depends on nothing else: reruns, retries and other
-partitionings give the same mixture. Copies are then dealt out by a hash of
+partitionings give the same mixture. A mean beyond 16 is drawn as the sum of
+Poisson numbers with means of at most 16, each from a uniform number of its
+own, which is the same distribution. Copies are then dealt out by a hash of
 seed, id and copy number and sorted by it, which is a global shuffle.
 """
 
@@ -18,8 +20,12 @@ from .staging import stage
 #: Rates tables with at most this many sources are broadcast; larger ones are joined with salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-#: No source's mean number of copies exceeds this by default: a document repeated more often teaches little.
+#: ``mix_sources`` bounds a source's mean number of copies by this if it is told nothing else; the query and the pipeline have no bound.
 MAX_RATE = 16.0
+#: A larger mean is drawn in slices of this mean.
+SLICE = 16.0
+#: Copies made by one array at most.
+COPIES = 4096
 
 
 def terms(max_rate: float) -> int:
@@ -27,17 +33,18 @@ def terms(max_rate: float) -> int:
     return int(max_rate + 10 * max_rate**0.5 + 24)
 
 
-TERMS = terms(MAX_RATE)
+TERMS = terms(SLICE)
 
 
-def uniform(seed: int, key: Column) -> Column:
-    """A number in [0, 1) from the first 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary"))
+def uniform(seed: int, key: Column, part: Column | None = None) -> Column:
+    """A number in [0, 1) from the first 52 bits of an MD5 digest; each ``part`` has one of its own."""
+    start = F.lit(str(seed)) if part is None else F.concat_ws("/", F.lit(str(seed)), part.cast("string"))
+    digest = F.md5(F.concat_ws(":", start, key).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """``(source, n_docs, weight, rate)``; rate = total * weight / n_docs, at most ``max_rate``.
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", max_rate: float | None = MAX_RATE) -> DataFrame:
+    """``(source, n_docs, weight, rate)``; rate = total * weight / n_docs, at most ``max_rate`` if that is not None.
 
     ``weights`` gives each source's share of the mixture (scaled to sum to 1;
     sources without one get none). Without weights every source weighs alike.
@@ -54,7 +61,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     all_share, all_docs = shares.agg(F.sum("share"), F.sum("n_docs")).first()
     weight = F.col("share") / F.lit(float(all_share)) if all_share else F.lit(0.0)
     wanted = float(total if total is not None else all_docs or 0)
-    rate = F.least(F.lit(float(max_rate)), F.lit(wanted) * F.col("weight") / F.col("n_docs"))
+    rate = F.lit(wanted) * F.col("weight") / F.col("n_docs")
+    if max_rate is not None:
+        rate = F.least(F.lit(float(max_rate)), rate)
     return shares.select("source", "n_docs", weight.alias("weight")).withColumn("rate", rate)
 
 
@@ -65,33 +74,50 @@ def with_cdf(rates: DataFrame, n: int = TERMS) -> DataFrame:
     return rates.withColumn("cdf", F.expr(fold))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def with_slices(rates: DataFrame) -> DataFrame:
+    """Cuts each rate into ``full`` slices of mean ``SLICE`` and the rest: ``source, full, cdf, full_cdf`` (null without full slices)."""
+    full = F.greatest(F.lit(0), F.ceil(F.col("rate") / SLICE) - 1).cast("int")
+    cut = rates.withColumn("full", full).withColumn("rate", F.col("rate") - F.col("full") * SLICE)
+    rest = with_cdf(cut).select("source", "full", F.col("cdf").alias("rest"))
+    whole = with_cdf(rest.withColumn("rate", F.lit(SLICE)))
+    return whole.select("source", "full", F.col("rest").alias("cdf"), F.when(F.col("full") > 0, F.col("cdf")).alias("full_cdf"))
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = MAX_RATE) -> DataFrame:
     """``docs`` replicated to the target weights and globally shuffled.
 
     All columns stay; ``copy`` (from 0) and ``shuffle_key`` are added (or take
     the place of columns so named), and the rows are sorted by ``shuffle_key``
-    within partitions that it was dealt to. ``max_rate`` has to stay under 600.
-    A null source is a source of its own (weighed under the plain default, out
+    within partitions that it was dealt to. Sources that reach ``max_rate``
+    miss their target weights; None is no bound. A null source is a source of its own (weighed under the plain default, out
     of a given ``weights``). A null id hashes as the empty text. Rows that
     repeat an id get equal counts. Ties of ``shuffle_key`` keep no set order.
     """
-    rates = stage(with_cdf(source_rates(docs, weights, total, source_col, max_rate), terms(max_rate)), "mix-rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    keyed = docs.withColumn("__u", uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    rates = stage(with_slices(source_rates(docs, weights, total, source_col, max_rate)), "mix-rates")
+    rates = rates.select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("cdf").alias("__cdf"), F.col("full_cdf").alias("__full_cdf"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn("__u", uniform(seed, name))
     if rates.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = keyed.withColumn("__slot", F.floor(F.col("__u") * SALTS).cast("int"))
         joined = keyed.join(salted, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__slot") == F.col("__salt")))
-    u = F.col("__u")
-    n = F.size(F.filter("__cdf", lambda c: c <= u))
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))
+    u, full = F.col("__u"), F.col("__full")
+    below = lambda cdf, at: F.size(F.filter(cdf, lambda c: c <= at))
+
+    def add(n: Column, k: Column) -> Column:
+        return n + below(F.when(k < full, F.col("__full_cdf")).otherwise(F.col("__cdf")), uniform(seed, name, k))
+
+    n = F.when(full == 0, below("__cdf", u)).otherwise(F.aggregate(F.sequence(F.lit(1), full), below("__full_cdf", u), add))
+    key = F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string"))
     return (
         joined.withColumn("__n", n)
         .where(F.col("__n") > 0)
-        .withColumn("copy", F.explode(F.expr("sequence(0, __n - 1)")))
+        .withColumn("__from", F.explode(F.expr(f"sequence(0, __n - 1, {COPIES})")))
+        .withColumn("copy", F.explode(F.expr(f"sequence(__from, least(__n, __from + {COPIES}) - 1)")))
         .withColumn("shuffle_key", F.md5(key.cast("binary")))
-        .drop("__source", "__cdf", "__u", "__n", "__salt", "__slot")
+        .drop("__source", "__full", "__cdf", "__full_cdf", "__u", "__n", "__from", "__salt", "__slot")
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )
@@ -99,4 +125,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
 def query(docs: DataFrame) -> DataFrame:
     """Sources mixed in equal shares; as many documents as the table has, in the mean."""
-    return mix_sources(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return mix_sources(docs.select("doc_id", "text", "lang", "source", "n_chars"), max_rate=None)

@@ -4,6 +4,7 @@ from collections import Counter
 import brute
 from pyspark.sql import functions as F
 
+import corpus_pipeline as P
 from sedimenta.llm import line_dedup as L
 from sedimenta.llm import mixing as M
 
@@ -68,3 +69,21 @@ def test_mixing_takes_high_rates(spark):
     got = Counter(r["source"] for r in M.mix_sources(df, max_rate=400.0).collect())
     assert 140 < got["a"] < 260 and 140 < got["b"] < 260
     assert Counter(r["source"] for r in M.mix_sources(df).collect())["b"] == brute.poisson_copies(0, 16.0)
+
+
+def test_rare_sources_reach_their_weight(spark):
+    docs = [(i, "t", "en", f"s{i % 19}" if i else "rare", 1) for i in range(20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for out in (M.query(df), P.mixing_stage(spark, df, "")):
+        got = Counter({r["source"]: r["count"] for r in out.groupBy("source").count().collect()})
+        rare = sum(brute.poisson_copies(0, 16.0, f"17/{k}" if k else 17) for k in range(62)) + brute.poisson_copies(0, 1000.0 - 62 * 16, "17/62")
+        assert got["rare"] == rare and 850 < rare < 1150  # 1000 of 20,000 in the mean
+        assert 19_300 < sum(got.values()) < 20_700
+        assert all(got[f"s{k}"] == sum(brute.poisson_copies(d, 1000 / sum(1 for x in docs if x[3] == s)) for d, _, _, s, _ in docs if s == f"s{k}") for k in (0, 7))
+
+
+def test_many_copies_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES", 7)
+    df = spark.createDataFrame([(i, "a" if i else "b") for i in range(400)], "doc_id long, source string")
+    copies = sorted(r["copy"] for r in M.mix_sources(df, max_rate=None).where("source = 'b'").collect())
+    assert copies == list(range(len(copies))) and 140 < len(copies) < 260
