@@ -117,13 +117,12 @@ class Decoder:
         self.runs: dict[str, list[str]] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
-        """A lower-cased token's core as it stands (or ``''``), then the words it is restored to if it is disguised."""
+        """A lower-cased token's core as it stands (or ``''``), then the words that its forms are restored to if it is disguised."""
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            hidden = disguised(token)
-            found = self.known[token] = (core_of(token), *(self.decode(hidden).split() if hidden else ()))
+            found = self.known[token] = (core_of(token), *dict.fromkeys(w for form in forms(token) for w in self.decode(form).split()))
         return found
 
     def spaced(self, text: str) -> list[str]:
@@ -200,15 +199,28 @@ def core_of(token: str) -> str:
     return token.strip(EDGE)
 
 
+#: Signs at a word's edges that can stand for no letter.
+PEEL = "".join(c for c in EDGE if c not in LEET and c not in MASKS)
+
+
+def unplain(word: str) -> bool:
+    return len(word) > 2 and any(c.isalpha() for c in word) and (not word.isalpha() or RUNS.search(word) is not None)
+
+
+def peeled(token: str) -> str:
+    """A token without the punctuation at its edges; brackets and closing ``!`` count as such, other signs of letters stay."""
+    return token.lstrip("(" + PEEL).rstrip("(!" + PEEL)
+
+
+def forms(token: str) -> tuple[str, ...]:
+    """What of a lower-cased token may be a disguised word: peeled, with ``(`` and ``!`` kept as letters, and its bare core."""
+    return tuple(dict.fromkeys(x for x in (peeled(token), token.strip(PEEL), core_of(token)) if unplain(x)))
+
+
 def disguised(token: str) -> str:
-    """What of a lower-cased token to decode: ``''`` if it reads as it stands."""
-    core = core_of(token)
-    if core.isalpha() and len(token) - len(core) <= 1 and not (token[0] in LEET or token[-1] in "$@"):
-        return core if RUNS.search(core) else ""
-    whole = token.strip(".,;:?\"'()[]{}") if len(token) - len(core) <= 2 else core
-    if len(whole) > 2 and any(c.isalpha() for c in whole) and (not whole.isalpha() or RUNS.search(whole)):
-        return whole
-    return ""
+    """The likeliest of a lower-cased token's forms: ``''`` if it reads as it stands."""
+    form = peeled(token)
+    return form if unplain(form) else ""
 
 
 def features(word: str) -> list[str]:
@@ -232,6 +244,7 @@ class Lexicon:
         get = self.weight.get
         found = [(get(f, 0.0), f) for w in (*words, *restored) for f in features(w)]
         found += [(x[1], x[0]) for w in restored if (x := self.loose.get(squeezed(w)))]
+        found += [(get(w, 0.0), w) for w in restored if len(w) > 2]  # a beginning that lacks the second of two letters
         w, f = max(found, default=(0.0, ""))
         return (f, w) if w > 0 else None
 
@@ -283,7 +296,13 @@ N_HITS = 7
 def restore(text: str, decoder: Decoder) -> str:
     """The text, lower-cased, with disguised words replaced by what they are read as; all else stays."""
     low = SPACED.sub(lambda m: decoder.decode(re.sub(r"[ .\-_*~]", "", m[0]), spaced=True), text.lower())
-    return "".join(decoder.decode(h) if piece.strip() and (h := disguised(piece)) else piece for piece in re.split(r"(\s+)", low))
+
+    def read(piece: str) -> str:
+        form = disguised(piece)
+        word = decoder.decode(form) if form else piece
+        return piece if word == core_of(piece) else word
+
+    return "".join(read(piece) if piece.strip() else piece for piece in re.split(r"(\s+)", low))
 
 
 def distinct_rows(rows: DataFrame, most: int) -> set[int]:

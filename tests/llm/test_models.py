@@ -83,6 +83,29 @@ def test_disguises_are_seen_through(reader, disguise):
     assert fitted.forest.probability(np.array([r.hits(f"and the {disguise} was there.")]))[0] > 0.5
 
 
+@pytest.mark.parametrize("disguise", ['"$tupid"', "($tupid)", '"$cum".', "worthle$$.", "worthle$$!!", "(worthle$$)", "*diot", "idio*", "\u201c$tupid\u201d,", "[l0$er]!!", "tra$h?!"])
+def test_signs_at_the_edges_are_letters(reader, disguise):
+    r, fitted = reader
+    assert fitted.forest.probability(np.array([r.hits(f"and the {disguise} was there.")]))[0] > 0.5
+
+
+def test_restored_words_meet_beginnings():
+    lexicon = toxicity.Lexicon({"worthles": 5.0})
+    assert lexicon.best([""], ["worthles"]) == ("worthles", 5.0) and lexicon.best(["worthles"], []) is None
+
+
+def test_edges_reach_the_lattice(spark):
+    words = "stupid scum trass worthless ass asshole fuck shit idiot cunt"
+    decoder = toxicity.Decoder(toxicity.char_model(toxicity.count_ngrams(spark.createDataFrame([(1, f"{words} " * 300)], DOCS))))
+    wanted = {'"$tupid"': "stupid", "($tupid)": "stupid", '"$cum".': "scum", "tra$$.": "trass", "worthle$$.": "worthless", "worthle$$!!": "worthless", "a$$.": "ass", "@$$hole": "asshole", "*diot": "idiot", "idio*": "idiot", "(unt": "cunt", "((unt)": "cunt"}
+    for token, word in wanted.items():
+        assert word in decoder.readings(token)[1:], token
+    for token in ("f***", "sh***", '"f***!"', "(sh***)."):
+        assert toxicity.disguised(token) == token.strip('"!().') and len(decoder.readings(token)) > 1, token
+    for token in ("word", "word.", '"word"', "(word)", "word!", "word?!", "word(", "\u201cword\u201d,"):
+        assert toxicity.disguised(token) == "" and toxicity.restore(token, decoder) == token, token
+
+
 def test_plain_text_is_left_alone(reader):
     r, fitted = reader
     for text in ("a a a a a", "version 4.0 of 2.0, see 3.", "password=e3b3ed3cc8548923d6", "hello!!! $$$ *** ###", "a b c d e f g", ""):
