@@ -1,8 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then a learned lexicon.
 
 A word that may be written in disguise becomes a character lattice: leetspeak
-signs may stand for letters, masked characters for any letter, repeated
-letters for one or two, and spaced letters may belong together. Viterbi decoding finds
+signs may stand for letters, masked characters for any letter each (a run of
+them also for one), repeated letters for one or two, and spaced letters may belong together. Viterbi decoding finds
 the likeliest reading under a character 4-gram model counted over all
 documents. The restored words are then looked up in a lexicon of words and word
 beginnings that are far more frequent in toxic documents, and boosted trees
@@ -40,7 +40,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Signs that may mask any letter, and signs that may part letters.
 MASKS, PARTS = "*#", ".-_*~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Channel costs in nats: a sign read as a letter, a mask read as a letter, a dropped sign, a shortened run, a pair made single, a word break put in.
+#: Runs of masks up to this length are read letter by letter; in longer ones, which no word is as long as, all stand for one letter.
+MASKED = 24
+#: Channel costs in nats: a sign read as a letter, a run of masks read as letters (and again for each that is none), a dropped sign, a shortened run, a pair made single, a word break put in.
 SIGN, MASK, DROP, RUN, PAIR, BREAK = 1.0, 3.3, 4.0, 0.7, 2.5, 3.0
 #: The model's alphabet: 0 a break, 1-26 a letter without its accents, 27 any other letter.
 SIZE = 28
@@ -105,14 +107,61 @@ def char_model(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+class Wide:
+    """Many states as arrays: keys in order, scores, and for each the state it came from and what was read (of ``out``, one text or a letter for each)."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray, sources: list, source: np.ndarray | None, parent: np.ndarray, out: str):
+        self.keys, self.scores, self.sources, self.source, self.parent, self.out = keys, scores, sources, source, parent, out
+
+    @classmethod
+    def of(cls, states: dict | Wide) -> Wide:
+        if isinstance(states, cls):
+            return states
+        keys = sorted(states)
+        return cls(np.array(keys, np.int64), np.array([states[k][0] for k in keys]), [[states[k][1] for k in keys]], None, np.arange(len(keys)), "")
+
+    def linked(self, i: int) -> tuple:
+        return self, i
+
+    def back(self, i: int) -> tuple[tuple | None, str]:
+        """The linked pairs before state ``i``, and what it added."""
+        source, parent = self.sources[0 if self.source is None else self.source[i]], self.parent[i]
+        out = self.out[i % len(LETTERS)] if self.out == LETTERS else self.out
+        return (source.linked(parent) if isinstance(source, Wide) else source[parent]), out
+
+
+def joined(parts: list[tuple[dict | Wide, float]]) -> dict | Wide:
+    """The best of several states, each at a cost."""
+    if not any(isinstance(x, Wide) for x, _ in parts):
+        new: dict = {}
+        for part, cost in parts:
+            for k, (s, text) in part.items():
+                if k not in new or new[k][0] < s - cost:
+                    new[k] = (s - cost, text)
+        return new
+    sources = [Wide.of(x) for x, _ in parts]
+    best, source, parent = np.full(SIZE**3, -np.inf), np.zeros(SIZE**3, np.int64), np.zeros(SIZE**3, np.int64)
+    for j, (x, (_, cost)) in enumerate(zip(sources, parts)):
+        won = np.flatnonzero(x.scores - cost > best[x.keys])
+        k = x.keys[won]
+        best[k], source[k], parent[k] = x.scores[won] - cost, j, won
+    k = np.flatnonzero(best > -np.inf)
+    return Wide(k, best[k], sources, source[k], parent[k], "")
+
+
 class Decoder:
-    """Viterbi decoding of one disguised word or run of spaced letters; tokens read before are remembered up to a bound."""
+    """Viterbi decoding of one disguised word or run of spaced letters; tokens read before are remembered up to a bound.
+
+    No history is pruned: the last three symbols are all that a state has, so there are at most 28^3.
+    """
 
     LIMIT = 200_000
+    #: Steps of more transitions than this are done on arrays.
+    FEW = 800
 
-    def __init__(self, model: np.ndarray, beam: int = 400):
+    def __init__(self, model: np.ndarray):
         self.flat = model.reshape(-1).tolist()
-        self.beam = beam
+        self.table = np.array(self.flat)
         self.known: dict[str, tuple[str, ...]] = {}
         self.runs: dict[str, list[str]] = {}
 
@@ -137,8 +186,10 @@ class Decoder:
             out += self.runs[run]
         return out
 
-    def step(self, states: dict, options: list[tuple[str, float]]) -> dict:
-        """States are the last three symbols; an option is what a sign is read as, and its cost."""
+    def step(self, states: dict | Wide, options: list[tuple[str, float]]) -> dict | Wide:
+        """States are the last three symbols, with their score and what was read as linked pairs; an option is what a sign is read as, and its cost."""
+        if isinstance(states, Wide) or len(states) * len(options) > self.FEW:
+            return self.wide_step(Wide.of(states), options)
         flat, new = self.flat, {}
         for h, (score, text) in states.items():
             for out, cost in options:
@@ -149,13 +200,53 @@ class Decoder:
                     s += flat[code]
                     k = code % SIZE**3 if sym else 0
                 if k not in new or new[k][0] < s:
-                    new[k] = (s, text + out)
-        if len(new) > self.beam:  # only masks make so many histories
-            new = dict(sorted(new.items(), key=lambda x: -x[1][0])[: self.beam])
+                    new[k] = (s, (text, out))
         return new
 
+    def wide_step(self, states: Wide, options: list[tuple[str, float]]) -> dict | Wide:
+        """The same for many states."""
+        parts = []
+        for out, cost in options:
+            s, k = states.scores - cost, states.keys
+            for ch in out:
+                sym = symbol(ch)
+                code = k * SIZE + sym
+                s = s + self.table[code]
+                k = code % SIZE**3 if sym else np.zeros(len(s), np.int64)
+            if out.endswith(" "):
+                first = s.argmax(keepdims=True)  # all are one state
+            else:
+                order = np.lexsort((-s, k))
+                first = order[np.r_[True, np.diff(k[order]) > 0]]
+            parts.append((Wide(k[first], s[first], [states], None, first, out), 0.0))
+        return joined(parts)
+
+    def letters(self, states: dict | Wide, cost: float) -> dict | Wide:
+        """A step in which any letter is read."""
+        if isinstance(states, dict) and len(states) * len(LETTERS) <= self.FEW:
+            return self.step(states, [(a, cost) for a in LETTERS])
+        states = Wide.of(states)
+        syms = np.array([symbol(a) for a in LETTERS])
+        thirds, row = np.unique(states.keys // SIZE**2, return_inverse=True)
+        lasts, column = np.unique(states.keys % SIZE**2, return_inverse=True)
+        scores, at = np.full((len(thirds), len(lasts)), -np.inf), np.zeros((len(thirds), len(lasts)), np.int64)
+        scores[row, column], at[row, column] = states.scores - cost, np.arange(len(row))
+        tried = scores[:, :, None] + self.table[((thirds[:, None] * SIZE**2 + lasts) * SIZE)[:, :, None] + syms]
+        won = tried.argmax(0)
+        best = np.take_along_axis(tried, won[None], 0)[0]
+        keys = lasts[:, None] * SIZE + syms
+        return Wide(keys.ravel(), best.ravel(), [states], None, at[won, np.arange(len(lasts))[:, None]].ravel(), LETTERS)
+
+    def masked(self, states: dict | Wide, n: int) -> dict | Wide:
+        """A run of ``n`` masks: a letter each, one letter in all, or none."""
+        one = many = self.letters(states, MASK)
+        for _ in range(n - 1 if n <= MASKED else 0):
+            many = self.letters(many, 0.0)
+        parts = [(self.step(states, [(" ", DROP)]), 0.0), (one, MASK * (n - 1) if n <= MASKED else 0.0)]
+        return joined(parts if one is many else [*parts, (many, 0.0)])
+
     def decode(self, raw: str, spaced: bool = False) -> str:
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        states: dict[int, tuple[float, tuple | None]] | Wide = {0: (0.0, None)}
         i = 0
         while i < len(raw):
             ch, j = raw[i], i + 1
@@ -166,15 +257,17 @@ class Decoder:
                 options = [(ch * n, 0.0)] + [(ch * m, RUN if n > 2 else PAIR) for m in (1, 2) if m < n]
             elif ch in LEET:
                 options = [(a * m, SIGN * n + (PAIR if m < n == 2 else 0.0)) for a in LEET[ch] for m in {1, min(n, 2)}] + [(" ", DROP)]
-            elif ch in MASKS:
-                options = [(a, MASK) for a in LETTERS] + [(" ", DROP)]
-            else:
+            elif ch not in MASKS:
                 options = [("", 0.0 if ch in PARTS else DROP), (" ", 0.0)]
-            states = self.step(states, options)
+            states = self.masked(states, n) if ch in MASKS else self.step(states, options)
             if spaced and j < len(raw):
                 states = self.step(states, [("", 0.0), (" ", BREAK)])
             i = j
-        return max(self.step(states, [(" ", 0.0)]).values())[1].strip()
+        text, parts = Wide.of(self.step(states, [(" ", 0.0)])).linked(0), []
+        while text:
+            text, out = text[0].back(text[1]) if isinstance(text[0], Wide) else text
+            parts.append(out)
+        return "".join(reversed(parts)).strip()
 
 
 _decoders: dict[int, Decoder] = {}

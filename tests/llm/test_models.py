@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -106,6 +108,46 @@ def test_edges_reach_the_lattice(spark):
         assert toxicity.disguised(token) == "" and toxicity.restore(token, decoder) == token, token
 
 
+@pytest.mark.parametrize("disguise", ["m***n", "tr**h", "st**id", "idi**", "m*r*n", "cl**n"])
+def test_many_masks_are_seen_through(reader, disguise):
+    r, fitted = reader
+    assert fitted.forest.probability(np.array([r.hits(f"and the {disguise} was there.")]))[0] > 0.5
+
+
+def test_no_history_is_pruned(reader, monkeypatch):
+    """Against a search of all readings: a letter for each mask, one for a run, or a break."""
+    decoder = reader[0].decoder
+    flat, letters = decoder.flat, toxicity.LETTERS[::3]
+    monkeypatch.setattr(toxicity, "LETTERS", letters)
+
+    def cost(text):
+        s, k = 0.0, 0
+        for ch in text + " ":
+            code = k * toxicity.SIZE + toxicity.symbol(ch)
+            s, k = s - flat[code], code % toxicity.SIZE**3 if ch != " " else 0
+        return s
+
+    def runs(raw):
+        if not raw:
+            yield "", 0.0
+            return
+        ch, n = raw[0], len(raw) - len(raw.lstrip(raw[0]))
+        here = [(ch * n, 0.0)]
+        if ch in toxicity.MASKS:
+            here = [(" ", toxicity.DROP), *((a, toxicity.MASK * n) for a in letters), *(("".join(x), toxicity.MASK) for x in itertools.product(letters, repeat=n))]
+        for text, c in runs(raw[n:]):
+            yield from ((out + text, c + d) for out, d in here)
+
+    for raw in ("m****n", "m*g*d*n", "s***d", "*#*#", "p**s", "g#*s*"):
+        best = min(c + cost(text) for text, c in runs(raw))
+        states = decoder.decode(raw)
+        for few in (0, 10**9):
+            decoder.FEW = few
+            assert decoder.decode(raw) == states
+        del decoder.FEW
+        assert min(c + cost(text) for text, c in runs(raw) if text.strip() == states) <= best + 1e-6, (raw, states)
+
+
 def test_plain_text_is_left_alone(reader):
     r, fitted = reader
     for text in ("a a a a a", "version 4.0 of 2.0, see 3.", "password=e3b3ed3cc8548923d6", "hello!!! $$$ *** ###", "a b c d e f g", ""):
