@@ -1,106 +1,99 @@
 """Line deduplication across documents, in DataFrame operations alone.
 
 Line hashes are range-partitioned by (hash, document) and sorted there by
-document and position, so that the occurrences of a line stream past in order;
-a line found in a very large share of all documents simply spans several
-ranges. Every range reduces a hash to one partial count, so the counting
-shuffle carries a row per hash and range at most. The result is a bitmap per
-document that lost lines, packed 64 lines to a word; texts are not shuffled
-until the bitmaps are applied.
+document and position, so that the occurrences of a line stream past in order
+and the first of each document is marked; a line found in a very large share
+of all documents simply spans several ranges. Every range reduces a hash to
+one partial count, so the counting shuffle carries a row per hash and range at
+most. The result is a keep bitmap for each text that lost lines, compressed to
+the runs of its zeros; texts are not shuffled until the bitmaps are applied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import ascii_lower, small_side, stage
+from .staging import BROADCAST_IDS, ascii_lower, join_hot, stage
 
 #: Characters stripped from both ends of a line for its key: the fixed set of ASCII white space.
 STRIP = " \t\n\x0b\f\r"
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """Compressed keep bitmaps: ``(doc_key, text_key, runs array<struct<start int, length int>>)``.
 
-
-def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Bitmaps of the lines to drop: ``(doc_key, words array<bigint>)``.
-
-    Bit ``p % 64`` of ``words[p div 64]`` is set if line ``p`` (from 0) is
-    dropped; words after the last set bit are cut off and documents that keep
-    every line have no row, so absent means keep. A key of at least
-    ``min_chars`` code points found in at least ``min_docs`` documents keeps
-    its lines only in the largest document id that has it.
+    ``runs`` are the runs of zeros, in order: lines (from 0) to drop; all other
+    bits are ones, and texts that keep every line have no row. A text is named
+    by its id and ``text_key``, its xxhash64, so rows that share an id but not
+    their text have bitmaps of their own. A key of at least ``min_chars`` code
+    points found in at least ``min_docs`` documents (ids) keeps its lines only
+    in the largest document id that has it.
 
     Null and empty texts are one empty line and never drop it. Rows without an
-    id take no part. Rows that repeat an id count as one document and share
-    one bitmap, so repeat rows should have equal texts.
+    id take no part. Rows that repeat an id count as one document; rows that
+    repeat an id and its text share one bitmap.
     """
+    spark = docs.sparkSession
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), F.split(text_col, "\n").alias("lines"))
     lines = (
-        docs.select(F.col(id_col).alias("doc"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
-        .where(F.col("doc").isNotNull() & (F.length("line") >= min_chars))
-        .select("doc", "pos", F.trim(F.col("line"), F.lit(STRIP)).alias("line"))
+        texts.select("doc", "text_key", F.posexplode("lines").alias("pos", "line"))
         .where(F.length("line") >= min_chars)
-        .select("doc", "pos", ascii_lower(F.col("line")).alias("key"))
-        .select("doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("doc", "text_key", "pos", F.trim(F.col("line"), F.lit(STRIP)).alias("line"))
+        .where(F.length("line") >= min_chars)
+        .select("doc", "text_key", "pos", ascii_lower(F.col("line")).alias("key"))
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "text_key", "pos")
     )
-    spark = docs.sparkSession
+    seen = stage(lines, "line-hashes")  # 36 bytes a line; ranges are sampled from it without splitting texts again
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = stage(lines, "line-hashes")  # 28 bytes a line; ranges are sampled from it without splitting texts again
-    ordered = seen.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    pairs = ordered.groupBy("h1", "h2", "doc").agg(F.sort_array(F.collect_set("pos")).alias("lines"))
-    pairs = stage(pairs, "line-pairs")
-    common = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    common = small_side(stage(common, "line-common"))
-    lost = pairs.join(common, ["h1", "h2"]).where(F.col("doc") < F.col("keeper")).select("doc", F.explode("lines").alias("pos"))
-    words = (
-        lost.select("doc", F.floor(F.col("pos") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, pos % 64)").alias("bit"))
-        .repartition("doc")
-        .groupBy("doc", "at")
-        .agg(F.bit_or("bit").alias("bits"))
-        .groupBy("doc")
-        .agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    )
-    dense = F.expr("transform(sequence(0, array_max(map_keys(m))), i -> coalesce(try_element_at(m, i), 0L))")
-    return words.select(F.col("doc").alias("doc_key"), dense.alias("words"))
-
-
-def kept_lines(text: Column, words: Column) -> Column:
-    """The lines of ``text`` whose bit in ``words`` is not set (null: all)."""
-    lines = split_lines(text)
-
-    def keeps(_, i):
-        return F.coalesce(F.getbit(F.get(words, F.floor(i / 64).cast("int")), i % 64) == 0, F.lit(True))
-
-    return F.when(words.isNull(), lines).otherwise(F.filter(lines, keeps))
-
-
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``__words``: each document's bitmap or null."""
-    maps = bitmaps.select(F.col("doc_key").alias("__key"), F.col("words").alias("__words"))
-    return docs.join(maps, F.col(id_col) == F.col("__key"), "left").drop("__key")
+    ordered = seen.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "text_key", "pos")
+    of_document = Window.partitionBy("h1", "h2", "doc").orderBy("text_key", "pos")  # ranges and order are as it needs them
+    seen = stage(ordered.withColumn("first", F.row_number().over(of_document) == 1), "line-occurrences")
+    common = seen.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
+    common = stage(common.select(F.struct("h1", "h2").alias("hash"), "rows", "keeper"), "line-common")
+    named = seen.select(F.struct("h1", "h2").alias("hash"), "doc", "text_key", "pos")
+    found = named.join(F.broadcast(common), "hash") if common.count() <= BROADCAST_IDS else join_hot(named, common, "hash", "rows")
+    lost = found.where(F.col("doc") < F.col("keeper")).select("doc", "text_key", "pos").distinct()
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc", "text_key").orderBy("pos"))
+    runs = lost.withColumn("run", run).groupBy("doc", "text_key", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))
+    return runs.groupBy(F.col("doc").alias("doc_key"), "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs"))
+
+
+def kept_lines(lines: Column, runs: Column) -> Column:
+    """The elements of ``lines`` outside ``runs`` (null: all); both should be plain columns, as they are read for each line."""
+    zeros = F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+    ones = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), zeros)
+    return F.when(runs.isNull(), lines).otherwise(F.transform(ones, lambda i: F.get(lines, i)))
+
+
+def with_runs(docs: DataFrame, id_col: str, text_col: str, **bounds) -> DataFrame:
+    """``row`` (the columns of ``docs`` but its text), ``lines`` (null for a null text) and ``runs`` of each row."""
+    bitmaps = keep_bitmaps(docs, id_col, text_col, **bounds)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    split = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text"), F.split(text_col, "\n").alias("lines"))
+    joined = split.join(bitmaps, (F.col("doc") == F.col("doc_key")) & (F.col("text") == F.col("text_key")), "left")
+    return joined.select("row", "lines", "runs")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """``docs`` with the repeated lines of ``text_col`` dropped; all columns stay.
 
-    A null text stays null. A document may end up with an empty text.
+    A null text stays null. A document may end up with an empty text. Rows
+    without an id stay as they are.
     """
-    marked = apply_bitmaps(docs, drop_bitmaps(docs, id_col, text_col, **bounds), id_col)
-    text = F.when(F.col("__words").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(F.col(text_col), F.col("__words")), "\n"))
-    return marked.withColumn(text_col, text).drop("__words")
+    marked = with_runs(docs, id_col, text_col, **bounds)
+    text = F.array_join(kept_lines(F.col("lines"), F.col("runs")), "\n")
+    return marked.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_sha256`` of each document."""
-    docs = docs.select("doc_id", "text")
-    marked = apply_bitmaps(docs, drop_bitmaps(docs))
-    kept = F.array_join(kept_lines(F.col("text"), F.col("__words")), "\n")
-    dropped = F.aggregate(F.coalesce("__words", F.array().cast("array<bigint>")), F.lit(0), lambda n, w: n + F.bit_count(w))
+    """``doc_id, n_lines, n_dropped, kept_sha256`` of each document; a null text is one empty line."""
+    marked = with_runs(docs.select("doc_id", "text"), "doc_id", "text")
+    kept = F.coalesce(F.array_join(kept_lines(F.col("lines"), F.col("runs")), "\n"), F.lit(""))
+    dropped = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<start:int,length:int>>")), F.lit(0), lambda n, r: n + r["length"])
     return marked.select(
-        "doc_id",
-        F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
+        "row.doc_id",
+        F.coalesce(F.size("lines"), F.lit(1)).cast("long").alias("n_lines"),
         dropped.cast("long").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )

@@ -23,9 +23,11 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one is set only where none is (tests)."""
+    """The shared folder the cluster names. One is set only where none is and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
@@ -60,6 +62,25 @@ def small_side(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
+#: A key is hot if it has more than one part in HOT of all rows.
+HOT = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, where ``key`` is unique and ``rows`` is how many rows of ``left`` have it.
+
+    Hot keys, of which there are fewer than ``HOT``, are broadcast, so their
+    rows stay where they are; the others are joined by a shuffle in which no
+    key has more than one part in ``HOT`` of all rows. Both sides are read
+    twice and should be staged. ``right`` should be of narrow columns.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * HOT > total
+    few = F.broadcast(right.where(hot))
+    by_shuffle = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key, how)
+    return left.join(few, key).unionByName(by_shuffle)
+
+
 def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     """About the ``rows`` rows of ``df`` whose ``columns`` hash smallest; ties stay together.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from sedimenta.llm import line_dedup as L
 from sedimenta.llm import mixing as M
+from sedimenta.llm import staging
 
 
 def docs_with_lines(seed=2):
@@ -41,6 +42,40 @@ def test_line_edges(spark):
     assert L.dedup_lines(df.limit(0)).collect() == [] and L.digest(df.limit(0)).collect() == []
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    line = "a line of more than forty characters, for certain"
+    other = "other text first line that is long enough, really so"
+    rows = [(i, f"{line}\nown {i}") for i in range(1, 7)] + [(1, f"{other}\nsecond"), (6, f"x\n{line}")]
+    df = spark.createDataFrame(rows, brute.DOCS)
+    assert Counter(L.dedup_lines(df).collect()) == Counter([(i, f"own {i}") for i in range(1, 6)] + [(1, f"{other}\nsecond"), (6, f"{line}\nown 6"), (6, f"x\n{line}")])
+
+
+def test_bitmaps_are_runs(spark):
+    lines = [f"line {i} of more than forty characters, for certain" for i in range(300)]
+    rows = [(i, "\n".join([*lines[:200], f"own {i}", *lines[200:]])) for i in range(6)]
+    got = L.keep_bitmaps(spark.createDataFrame(rows, brute.DOCS)).collect()
+    assert sorted(r["doc_key"] for r in got) == [0, 1, 2, 3, 4] and {tuple(r["runs"]) for r in got} == {((0, 200), (201, 100))}
+
+
+def test_hot_lines_are_joined_where_they_are(spark, monkeypatch):
+    docs = docs_with_lines(5)
+    df = spark.createDataFrame(docs, brute.DOCS).repartition(5)
+    want = {d: "\n".join(k) for d, (k, _) in brute.deduped_lines(docs).items()}
+    for hot in (1, 8, 1000):  # none is hot, some are, all are
+        monkeypatch.setattr(L, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(staging, "HOT", hot)
+        assert {r["doc_id"]: r["text"] or "" for r in L.dedup_lines(df).collect()} == want
+
+
+def test_occurrences_stream_in_their_ranges(spark, monkeypatch):
+    """One shuffle by range feeds the marks of first occurrences; no aggregate by line and document follows."""
+    plans = []
+    monkeypatch.setattr(L, "stage", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or staging.stage(df, label))
+    L.keep_bitmaps(spark.createDataFrame(docs_with_lines(), brute.DOCS)).collect()
+    plan = dict(plans)["line-occurrences"]
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and plan.count("Sort ") == 1 and "Aggregate" not in plan and "Window" in plan
+
+
 def test_mixing_equals_brute_force(spark):
     docs = [(i, "t", ["a", "a", "b", "c", None][i % 5]) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
