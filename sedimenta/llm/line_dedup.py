@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import BROADCAST_IDS, ascii_lower, join_hot, stage
+from .staging import ascii_lower, is_small, join_hot, stage
 
 #: Characters stripped from both ends of a line for its key: the fixed set of ASCII white space.
 STRIP = " \t\n\x0b\f\r"
@@ -52,7 +52,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = seen.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
     common = stage(common.select(F.struct("h1", "h2").alias("hash"), "rows", "keeper"), "line-common")
     named = seen.select(F.struct("h1", "h2").alias("hash"), "doc", "text_key", "pos")
-    found = named.join(F.broadcast(common), "hash") if common.count() <= BROADCAST_IDS else join_hot(named, common, "hash", "rows")
+    found = named.join(F.broadcast(common), "hash") if is_small(common, 64) else join_hot(named, common, "hash", "rows")
     lost = found.where(F.col("doc") < F.col("keeper")).select("doc", "text_key", "pos").distinct()
     run = F.col("pos") - F.row_number().over(Window.partitionBy("doc", "text_key").orderBy("pos"))
     runs = lost.withColumn("run", run).groupBy("doc", "text_key", "run").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
-#: A side with at most this many id rows (16 bytes each, 32 MB) may be broadcast.
-BROADCAST_IDS = 2_000_000
+#: A side of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,14 +52,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def small_side(ids: DataFrame, rows: int | None = None) -> DataFrame:
-    """``ids`` hinted for broadcast if its counted rows are within the bound.
+def is_small(df: DataFrame, width: int) -> bool:
+    """Whether the counted rows of ``df``, of ``width`` bytes each at most, may be broadcast; it must be cheap to count (staged, narrow)."""
+    return df.count() * width <= BROADCAST_BYTES
 
-    ``ids`` must be cheap to count (a staged table, narrow columns). Beyond the
-    bound no hint is given and Spark shuffles both sides.
-    """
-    n = ids.count() if rows is None else rows
-    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+def small_side(df: DataFrame, width: int = 16) -> DataFrame:
+    """``df`` hinted for broadcast if it is small. Else no hint is given and Spark shuffles both sides."""
+    return F.broadcast(df) if is_small(df, width) else df
 
 
 #: A key is hot if it has more than one part in HOT of all rows.

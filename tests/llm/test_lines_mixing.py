@@ -62,7 +62,7 @@ def test_hot_lines_are_joined_where_they_are(spark, monkeypatch):
     df = spark.createDataFrame(docs, brute.DOCS).repartition(5)
     want = {d: "\n".join(k) for d, (k, _) in brute.deduped_lines(docs).items()}
     for hot in (1, 8, 1000):  # none is hot, some are, all are
-        monkeypatch.setattr(L, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(staging, "HOT", hot)
         assert {r["doc_id"]: r["text"] or "" for r in L.dedup_lines(df).collect()} == want
 

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.llm import warc as W
@@ -36,7 +37,7 @@ def archive(n, zipped):
 
 def read(data):
     out = list(W.records(io.BytesIO(data)))
-    return [int(x[3]["x-page-id"]) for x in out if x[0] == "record"], [(x[1], x[2]) for x in out if x[0] == "gap"]
+    return [int(x.headers["x-page-id"]) for x in out if x.kind == "record"], [(x.start, x.stop) for x in out if x.kind == "gap"]
 
 
 def test_salvage():
@@ -74,4 +75,58 @@ def test_chunks_smaller_than_records(monkeypatch):
 
 def test_too_large_is_quarantined():
     parts = archive(3, True)
-    assert [x[0] for x in W.records(io.BytesIO(b"".join(parts)), most=100)] == ["gap"]
+    assert [x.kind for x in W.records(io.BytesIO(b"".join(parts)), most=100)] == ["gap"]
+
+
+def test_salvage_inside_a_shared_member():
+    raw = [bytearray(x) for x in archive(5, False)]
+    raw[2][raw[2].index(b"payload 2") + 40] ^= 1
+    out = list(W.records(io.BytesIO(gzip.compress(b"".join(raw), mtime=0) + archive(1, True)[0])))
+    assert [int(x.headers["x-page-id"]) for x in out if x.kind == "record"] == [0, 1, 3, 4, 0]
+    (gap,) = [x for x in out if x.kind == "gap"]
+    assert gap.inner == (len(raw[0]) + len(raw[1]), sum(map(len, raw[:3]))) and gap.start == 0
+
+
+def test_salvage_of_a_damaged_shared_member():
+    r = random.Random(5)
+    raw = [W.record(r.randbytes(3000), f"http://x/{i}", i, None, "2020-01-01T00:00:00Z") for i in range(6)]
+    data = bytearray(gzip.compress(b"".join(raw), mtime=0))
+    size, tail = len(data), archive(2, True)
+    data[len(data) * 2 // 3] ^= 0xFF
+    out = list(W.records(io.BytesIO(bytes(data) + b"".join(tail))))
+    ids = [int(x.headers["x-page-id"]) for x in out if x.kind == "record"]
+    assert ids[:3] == [0, 1, 2] and ids[-2:] == [0, 1] and 3 <= len(ids) - 2 < 6
+    assert all(x.reason for x in out[:3]) and [(x.start, x.stop) for x in out if x.kind == "gap"] == [(0, size)]
+    cut = list(W.records(io.BytesIO(bytes(data[: len(data) // 2]))))
+    assert [int(x.headers["x-page-id"]) for x in cut if x.kind == "record"][:2] == [0, 1] and cut[-1].kind == "gap"
+
+
+def test_large_members_and_records(monkeypatch):
+    big = W.record(b"x" * (3 << 20), "u", 7, None, "d")
+    whole = gzip.compress(b"".join([*archive(3, False), big, *archive(2, False)]))
+    for hold in (W.HOLD, 1000, 0):
+        out = list(W.records(io.BytesIO(whole), hold=hold))
+        assert [(x.kind, int(x.headers["x-page-id"])) for x in out] == [("record", i) for i in (0, 1, 2, 7, 0, 1)]
+    long_head = b"WARC/1.1\r\nX-Long: " + b"h" * (2 << 20) + b"\r\nX-Page-Id: 3\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert read(long_head) == ([3], []) and read(gzip.compress(long_head)) == ([3], [])
+
+
+def test_one_task_to_an_archive_and_a_log_of_gaps(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"{random.Random(i).random()}" * 100, None) for i in range(40)], f"{PAGES}, refers_to long").coalesce(1)
+    with monkeypatch.context() as m:  # a folder without a scheme is on the file system that Spark would take
+        m.setattr(W, "new_path", lambda spark, label: f"{tmp_path}/archives")
+        manifest = W.write_archives(df, archive_bytes=2000)
+    paths = [r["path"] for r in manifest.collect()]
+    assert len(paths) > 3 and all(p.startswith("file:///") for p in paths)
+    got = W.read_archives(manifest, expect_col="n_records")
+    tasks = {r[0] for r in got.select(F.spark_partition_id()).collect()}
+    assert len(tasks) == len(paths) and got.count() == 40
+    first = paths[0].removeprefix("file://")
+    data = bytearray(open(first, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    open(first, "wb").write(data)
+    with pytest.raises(Exception, match="gaps"):
+        W.read_archives(manifest, expect_col="n_records").collect()
+    records, gaps = W.salvage(manifest, log=f"{tmp_path}/log")
+    logged = spark.read.parquet(f"{tmp_path}/log").collect()
+    assert records.count() == 39 and gaps.count() == len(logged) == 1 and logged[0]["path"] == paths[0] and logged[0]["reason"]
