@@ -20,8 +20,6 @@ from .staging import stage
 #: Rates tables with at most this many sources are broadcast; larger ones are joined with salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-#: ``mix_sources`` bounds a source's mean number of copies by this if it is told nothing else; the query and the pipeline have no bound.
-MAX_RATE = 16.0
 #: A larger mean is drawn in slices of this mean.
 SLICE = 16.0
 #: Copies made by one array at most.
@@ -43,8 +41,11 @@ def uniform(seed: int, key: Column, part: Column | None = None) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", max_rate: float | None = MAX_RATE) -> DataFrame:
-    """``(source, n_docs, weight, rate)``; rate = total * weight / n_docs, at most ``max_rate`` if that is not None.
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source_col: str = "source", max_rate: float | None = None) -> DataFrame:
+    """``(source, n_docs, weight, rate, missed)``; rate = total * weight / n_docs.
+
+    With ``max_rate`` the rate is at most that, and ``missed`` is the number of
+    documents by which a source's mean falls short of its weight for it.
 
     ``weights`` gives each source's share of the mixture (scaled to sum to 1;
     sources without one get none). Without weights every source weighs alike.
@@ -61,10 +62,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     all_share, all_docs = shares.agg(F.sum("share"), F.sum("n_docs")).first()
     weight = F.col("share") / F.lit(float(all_share)) if all_share else F.lit(0.0)
     wanted = float(total if total is not None else all_docs or 0)
-    rate = F.lit(wanted) * F.col("weight") / F.col("n_docs")
-    if max_rate is not None:
-        rate = F.least(F.lit(float(max_rate)), rate)
-    return shares.select("source", "n_docs", weight.alias("weight")).withColumn("rate", rate)
+    full = F.lit(wanted) * F.col("weight") / F.col("n_docs")
+    rate = full if max_rate is None else F.least(F.lit(float(max_rate)), full)
+    return shares.select("source", "n_docs", weight.alias("weight")).withColumn("rate", rate).withColumn("missed", (full - F.col("rate")) * F.col("n_docs"))
 
 
 def with_cdf(rates: DataFrame, n: int = TERMS) -> DataFrame:
@@ -83,41 +83,41 @@ def with_slices(rates: DataFrame) -> DataFrame:
     return whole.select("source", "full", F.col("rest").alias("cdf"), F.when(F.col("full") > 0, F.col("cdf")).alias("full_cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = MAX_RATE) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = None) -> DataFrame:
     """``docs`` replicated to the target weights and globally shuffled.
 
     All columns stay; ``copy`` (from 0) and ``shuffle_key`` are added (or take
     the place of columns so named), and the rows are sorted by ``shuffle_key``
-    within partitions that it was dealt to. Sources that reach ``max_rate``
-    miss their target weights; None is no bound. A null source is a source of its own (weighed under the plain default, out
-    of a given ``weights``). A null id hashes as the empty text. Rows that
-    repeat an id get equal counts. Ties of ``shuffle_key`` keep no set order.
+    within partitions that it was dealt to. Every source meets its weight
+    unless ``max_rate`` bounds its mean; ``source_rates`` tells what it then
+    misses. A null source is a source of its own (weighed under the plain
+    default, out of a given ``weights``). A null id hashes as the empty text.
+    Rows that repeat an id get equal counts; texts, null or long, play no part.
+    Ties of ``shuffle_key`` keep no set order. An empty table gives an empty one.
     """
     rates = stage(with_slices(source_rates(docs, weights, total, source_col, max_rate)), "mix-rates")
-    rates = rates.select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("cdf").alias("__cdf"), F.col("full_cdf").alias("__full_cdf"))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("__u", uniform(seed, name))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("of"), name.alias("name"), uniform(seed, name).alias("u"))
     if rates.count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
+        joined = rows.join(F.broadcast(rates), F.col("of").eqNullSafe(F.col("source")))
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("__slot", F.floor(F.col("__u") * SALTS).cast("int"))
-        joined = keyed.join(salted, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__slot") == F.col("__salt")))
-    u, full = F.col("__u"), F.col("__full")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("slot", F.floor(F.col("u") * SALTS).cast("int"))
+        joined = rows.join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("slot") == F.col("salt")))
     below = lambda cdf, at: F.size(F.filter(cdf, lambda c: c <= at))
 
     def add(n: Column, k: Column) -> Column:
-        return n + below(F.when(k < full, F.col("__full_cdf")).otherwise(F.col("__cdf")), uniform(seed, name, k))
+        return n + below(F.when(k < F.col("full"), F.col("full_cdf")).otherwise(F.col("cdf")), uniform(seed, F.col("name"), k))
 
-    n = F.when(full == 0, below("__cdf", u)).otherwise(F.aggregate(F.sequence(F.lit(1), full), below("__full_cdf", u), add))
-    key = F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string"))
+    n = F.when(F.col("full") == 0, below("cdf", F.col("u"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("full")), below("full_cdf", F.col("u")), add))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("name"), F.col("copy").cast("string"))
     return (
-        joined.withColumn("__n", n)
-        .where(F.col("__n") > 0)
-        .withColumn("__from", F.explode(F.expr(f"sequence(0, __n - 1, {COPIES})")))
-        .withColumn("copy", F.explode(F.expr(f"sequence(__from, least(__n, __from + {COPIES}) - 1)")))
-        .withColumn("shuffle_key", F.md5(key.cast("binary")))
-        .drop("__source", "__full", "__cdf", "__full_cdf", "__u", "__n", "__from", "__salt", "__slot")
+        joined.select("row", "name", n.alias("n"))
+        .where(F.col("n") > 0)
+        .withColumn("from", F.explode(F.expr(f"sequence(0, n - 1, {COPIES})")))
+        .withColumn("copy", F.explode(F.expr(f"sequence(from, least(n, from + {COPIES}) - 1)")))
+        .select("row.*", "copy", F.md5(key.cast("binary")).alias("shuffle_key"))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )
@@ -125,4 +125,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 
 def query(docs: DataFrame) -> DataFrame:
     """Sources mixed in equal shares; as many documents as the table has, in the mean."""
-    return mix_sources(docs.select("doc_id", "text", "lang", "source", "n_chars"), max_rate=None)
+    return mix_sources(docs.select("doc_id", "text", "lang", "source", "n_chars"))

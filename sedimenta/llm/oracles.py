@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CONTROL, END, SEP, START
-from .mixing import MAX_RATE, TERMS
+from .mixing import SLICE, TERMS
 from .staging import UPPER
 
 LOWER_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -91,14 +91,19 @@ FROM q
 OP8 = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
 rates AS (
-  SELECT source, least({MAX_RATE}, (SELECT sum(n_docs) FROM counts)::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE) / n_docs::DOUBLE) AS rate FROM counts),
+  SELECT source, (SELECT sum(n_docs) FROM counts)::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM counts)::DOUBLE) / n_docs::DOUBLE AS rate FROM counts),
+slices AS (SELECT *, greatest(0, ceil(rate / {SLICE}) - 1)::INTEGER AS n_full FROM rates),
+parts AS (SELECT source, n_full, unnest([false, true]) AS is_full, unnest([rate - n_full * {SLICE}, {SLICE}]) AS rate FROM slices),
 cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM rates
-  UNION ALL SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM cdf WHERE k < {TERMS}),
+  SELECT source, is_full, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM parts WHERE NOT is_full OR n_full > 0
+  UNION ALL SELECT source, is_full, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM cdf WHERE k < {TERMS}),
+places AS (
+  SELECT d.*, n_full, unnest(range(0, n_full + 1)) AS part FROM documents d JOIN slices s ON s.source IS NOT DISTINCT FROM d.source),
 drawn AS (
-  SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+  SELECT *, ('0x' || substr(md5('17' || CASE WHEN part = 0 THEN '' ELSE '/' || part END || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM places),
 numbered AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.u, c.k FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.total <= d.u)
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, row_number() OVER (PARTITION BY d.doc_id) - 1 AS k
+  FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.is_full = (d.part < d.n_full) AND c.total <= d.u)
 SELECT doc_id, text, lang, source, n_chars, k::INTEGER AS copy, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || k) AS shuffle_key FROM numbered
 """
 

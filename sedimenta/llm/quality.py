@@ -84,9 +84,9 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, most
     The bound holds for the label rows, which are broadcast. Ids that repeat in
     ``docs`` can give more rows; callers bound what they collect of them.
     """
-    known = labels.select(F.col("doc_id").alias("__doc"), F.col(label).alias("y"), out.alias("out")).where(F.col("__doc").isNotNull() & F.col("y").isin(0, 1) & ~F.col("out"))
-    picked = known.select("__doc", "y").orderBy(F.xxhash64("__doc"), "__doc", "y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    known = labels.select(F.col("doc_id").alias("doc"), F.col(label).alias("y"), out.alias("out")).where(F.col("doc").isNotNull() & F.col("y").isin(0, 1) & ~F.col("out"))
+    picked = known.select("doc", "y").orderBy(F.xxhash64("doc"), "doc", "y").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("doc")).select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **trees) -> gbt.Forest:
@@ -116,15 +116,18 @@ def scorer(forest: gbt.Forest):
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document. Without usable labels every score is 0.5."""
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``, repeated ones too.
+
+    Null and empty texts are scored as empty ones, long texts as a whole.
+    Without usable labels every score is 0.5. Extra columns are left out.
+    """
     score = scorer(fit(docs, labels))
     scored = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` that score at least ``threshold``; all columns stay."""
+    """``docs`` that score at least ``threshold``; all columns stay. Rows are judged each by its text, as in ``digest``."""
     score = scorer(fit(docs, labels))
-    if not docs.columns:
-        return docs
-    return docs.withColumn("__score", score(F.col("text"))).where(F.col("__score") >= threshold).drop("__score")
+    rows = docs.select(F.struct("*").alias("row"), score(F.col("text")).alias("score"))
+    return rows.where(F.col("score") >= threshold).select("row.*")

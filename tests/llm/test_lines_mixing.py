@@ -103,7 +103,18 @@ def test_mixing_takes_high_rates(spark):
     df = spark.createDataFrame([(i, "a" if i else "b") for i in range(400)], "doc_id long, source string")
     got = Counter(r["source"] for r in M.mix_sources(df, max_rate=400.0).collect())
     assert 140 < got["a"] < 260 and 140 < got["b"] < 260
-    assert Counter(r["source"] for r in M.mix_sources(df).collect())["b"] == brute.poisson_copies(0, 16.0)
+    bounded = M.mix_sources(df, max_rate=16.0)
+    assert Counter(r["source"] for r in bounded.collect())["b"] == brute.poisson_copies(0, 16.0)
+    told = {r["source"]: r["missed"] for r in M.source_rates(df, max_rate=16.0).collect()}
+    assert told["a"] == 0 and abs(told["b"] - (200 - 16)) < 1e-9
+    assert {r["missed"] for r in M.source_rates(df).collect()} == {0.0}
+
+
+def test_weights_are_met_at_high_rates(spark):
+    """A source of 100 documents that has to give 40 copies of each."""
+    df = spark.createDataFrame([(i, "rare" if i < 100 else "much") for i in range(6000)], "doc_id long, source string")
+    got = Counter(r["source"] for r in M.mix_sources(df, {"rare": 2, "much": 1}, total=6000).collect())
+    assert abs(got["rare"] - 4000) < 260 and abs(got["much"] - 2000) < 190
 
 
 def test_rare_sources_reach_their_weight(spark):
@@ -122,3 +133,16 @@ def test_many_copies_are_numbered_in_order(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a" if i else "b") for i in range(400)], "doc_id long, source string")
     copies = sorted(r["copy"] for r in M.mix_sources(df, max_rate=None).where("source = 'b'").collect())
     assert copies == list(range(len(copies))) and 140 < len(copies) < 260
+
+
+def test_sql_draws_in_slices_too(spark):
+    import duckdb
+
+    from sedimenta.llm import oracles
+
+    rows = [(i, "t", "en", f"s{i % 9}" if i else "rare", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = Counter(tuple(r) for r in con.execute(f"SELECT doc_id, copy, shuffle_key FROM ({oracles.OP8})").fetchall())
+    assert Counter(tuple(r) for r in M.query(df).select("doc_id", "copy", "shuffle_key").collect()) == want and len(want) > 1500
