@@ -66,18 +66,19 @@ def small_side(df: DataFrame, width: int = 16) -> DataFrame:
 HOT = 1_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, where ``key`` is unique and ``rows`` is how many rows of ``left`` have it.
 
     Hot keys, of which there are fewer than ``HOT``, are broadcast, so their
     rows stay where they are; the others are joined by a shuffle in which no
     key has more than one part in ``HOT`` of all rows. Both sides are read
-    twice and should be staged. ``right`` should be of narrow columns.
+    twice and should be staged; ``right`` should be of narrow columns. Rows
+    whose key is null or unknown are left out. ``total`` is the sum of ``rows``.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
+    total = total or right.agg(F.sum(rows)).first()[0] or 0
     hot = F.col(rows) * HOT > total
     few = F.broadcast(right.where(hot))
-    by_shuffle = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key, how)
+    by_shuffle = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key)
     return left.join(few, key).unionByName(by_shuffle)
 
 

@@ -2,10 +2,12 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.llm import near_dedup as N
+from sedimenta.llm import staging
 from sedimenta.llm.staging import WordHashes, shingle_set
 
 
@@ -82,3 +84,60 @@ def test_components_of_paths_and_stars(spark):
     want = {name(x): name(find(x)) for p in pairs for x in p if p[0] != p[1]}
     assert out == want
     assert N.components(edges.limit(0)).collect() == []
+
+
+def test_cliques_under_a_foreign_centre_give_a_forest(spark):
+    """Tiles return links in number of their nodes, not of their pairs."""
+    rows = []
+    for k in range(3):
+        core = np.arange(k * 10**6, k * 10**6 + 60)
+        for i in range(100):
+            name = f"{k}-{i}".encode().rjust(20, b"0")
+            rows += [{"outside": out, "band": 3, "name": name, "n": 62, "comp": name, "keys": np.arange(i * 30, i * 30 + 30), "shingles": np.sort(np.r_[core, [k * 10**6 + 1000 + i, k * 10**6 + 2000 + i]])} for out in (True, False)]
+    out = N.tile_links(80)(pd.DataFrame(rows))
+    assert len(out) == 3 * 99
+
+
+def test_large_clique_of_texts_unlike_their_bucket_centre(spark, monkeypatch):
+    """Every text shares buckets with a hub that is like none of them; the clique's links stay linear and no key stays hot."""
+    told = {}
+    monkeypatch.setattr(N, "stage", lambda df, label: told.setdefault(label, []).append(out := staging.stage(df, label)) or out)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i + 1, " ".join([*base[:110], *(f"v{i}-{k}" for k in range(3)), *base[110:]])) for i in range(5000)]
+    friends = [(6000 + i, f"f{i} g{i} h{i}") for i in range(40)]
+
+    def keys(sk, bands, rows):  # two buckets are everyone's; the friends have a third, so one of them is the centre
+        own = N.mix(sk[:bands] + np.arange(bands, dtype=np.uint64)).view(np.int64)
+        return np.where(np.arange(bands) < (3 if len(np.unique(sk)) <= 2 else 2), np.arange(bands), own)
+
+    monkeypatch.setattr(N, "band_keys", keys)
+    found = got(spark, [*docs, *friends], 2)
+    assert {c for d, (_, c) in found.items() if d <= 5000} == {1} and all(found[d] == (2, d) for d, _ in friends)
+    links = {name: [df.count() for df in frames] for name, frames in told.items() if "link" in name or name in ("edges", "confirmed")}
+    assert max(n for counts in links.values() for n in counts) <= 12 * len(docs), links
+
+
+def test_recall_of_bands_at_the_threshold():
+    """Random pairs of similarity 0.8 to 0.82 share a bucket."""
+    r, hashes = np.random.default_rng(7), WordHashes()
+    missed = tried = 0
+    for n in (4, 9, 45, 180, 900):
+        for _ in range(120):
+            union = [f"{x}" for x in r.integers(0, 1 << 60, n)]
+            cut = n // 5  # in one of both only
+            a, b = union[: n - cut // 2], union[cut - cut // 2 :]
+            x, y = (shingle_set(" ".join(w).encode(), 1, hashes) for w in (a, b))
+            assert 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+            keys = [N.band_keys(N.sketch(s), N.BANDS, N.ROWS) for s in (x, y)]
+            missed += not (keys[0] == keys[1]).any()
+            tried += 1
+    assert tried == 600 and missed == 0
+
+
+def test_rows_go_by_their_own_text(spark):
+    a, b = "a b c d e f g", "q r s t u v w"
+    docs = spark.createDataFrame([(5, a), (9, a), (3, b), (5, b), (7, None), (7, "")], brute.DOCS)
+    docs = docs.select("*", *(F.lit(1).alias(c) for c in ("lost", "row", "text_key", "__lost", "node", "key")))
+    kept = N.drop_near_duplicates(docs, 2)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, a), (3, b), (7, None), (7, "")], key=str)
