@@ -31,9 +31,8 @@ from . import gbt
 from .quality import held_out, train_rows
 from .staging import WordHashes, bounded_batches, mix, shingle_set, stage
 
-#: Labelled rows used for fitting at most, and lexicon candidates weighed at most.
+#: Labelled rows used for fitting at most.
 MAX_TRAIN = 20_000
-MAX_CANDIDATES = 200_000
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
@@ -149,6 +148,15 @@ def joined(parts: list[tuple[dict | Wide, float]]) -> dict | Wide:
     return Wide(k, best[k], sources, source[k], parent[k], "")
 
 
+def spelled(states: Wide, i: int) -> str:
+    """All that was read on the way to state ``i``."""
+    text, parts = states.linked(i), []
+    while text:
+        text, out = text[0].back(text[1]) if isinstance(text[0], Wide) else text
+        parts.append(out)
+    return "".join(reversed(parts))
+
+
 class Decoder:
     """Viterbi decoding of one disguised word or run of spaced letters; tokens read before are remembered up to a bound.
 
@@ -164,6 +172,7 @@ class Decoder:
         self.table = np.array(self.flat)
         self.known: dict[str, tuple[str, ...]] = {}
         self.runs: dict[str, list[str]] = {}
+        self.tails: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
         """A lower-cased token's core as it stands (or ``''``), then the words that its forms are restored to if it is disguised."""
@@ -171,7 +180,8 @@ class Decoder:
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            found = self.known[token] = (core_of(token), *dict.fromkeys(w for form in forms(token) for w in self.decode(form).split()))
+            plain = token.isalpha() and not RUNS.search(token)
+            found = self.known[token] = (token,) if plain else (core_of(token), *dict.fromkeys(w for form in forms(token) for w in self.decode(form).split()))
         return found
 
     def spaced(self, text: str) -> list[str]:
@@ -182,7 +192,7 @@ class Decoder:
             if len(self.runs) >= 50_000:
                 self.runs.clear()
             if run not in self.runs:
-                self.runs[run] = self.decode(run, spaced=True).split() if len(set(run)) > 2 else []
+                self.runs[run] = self.decode(run, spaced=True).split() if len(set(run)) > 1 else []
             out += self.runs[run]
         return out
 
@@ -191,11 +201,11 @@ class Decoder:
         if isinstance(states, Wide) or len(states) * len(options) > self.FEW:
             return self.wide_step(Wide.of(states), options)
         flat, new = self.flat, {}
+        coded = [(out, cost, [symbol(ch) for ch in out]) for out, cost in options]
         for h, (score, text) in states.items():
-            for out, cost in options:
+            for out, cost, syms in coded:
                 s, k = score - cost, h
-                for ch in out:
-                    sym = symbol(ch)
+                for sym in syms:
                     code = k * SIZE + sym
                     s += flat[code]
                     k = code % SIZE**3 if sym else 0
@@ -245,6 +255,36 @@ class Decoder:
         parts = [(self.step(states, [(" ", DROP)]), 0.0), (one, MASK * (n - 1) if n <= MASKED else 0.0)]
         return joined(parts if one is many else [*parts, (many, 0.0)])
 
+    def tail(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each history the score of its best ``n`` letters and the break that ends the word, and the first of those letters."""
+        key = (LETTERS, n)
+        if key not in self.tails:
+            h, syms = np.arange(SIZE**3), np.array([symbol(a) for a in LETTERS])
+            if n == 0:
+                self.tails[key] = self.table[h * SIZE], h
+            else:
+                codes = h[:, None] * SIZE + syms
+                tried = self.table[codes] + self.tail(n - 1)[0][codes % SIZE**3]
+                first = tried.argmax(axis=1)
+                self.tails[key] = tried[h, first], first
+        return self.tails[key]
+
+    def ended(self, states: dict | Wide, n: int) -> str:
+        """What is read if a run of ``n`` masks ends the word: as ``masked`` and the closing break, with the letters looked up."""
+        states = Wide.of(states)
+        h = states.keys
+        ways = [(0, states.scores - DROP + self.table[h * SIZE] + self.table[0]), (1, states.scores - MASK * (n if n <= MASKED else 1) + self.tail(1)[0][h])]
+        if 1 < n <= MASKED:
+            ways.append((n, states.scores - MASK + self.tail(n)[0][h]))
+        best = max(range(len(ways)), key=lambda k: ways[k][1].max())
+        letters, scores = ways[best]
+        at = int(scores.argmax())
+        k, read = int(h[at]), ""
+        for left in range(letters, 0, -1):
+            read += LETTERS[self.tail(left)[1][k]]
+            k = (k * SIZE + symbol(read[-1])) % SIZE**3
+        return (spelled(*states.linked(at)) + read).strip()
+
     def decode(self, raw: str, spaced: bool = False) -> str:
         states: dict[int, tuple[float, tuple | None]] | Wide = {0: (0.0, None)}
         i = 0
@@ -259,15 +299,13 @@ class Decoder:
                 options = [(a * m, SIGN * n + (PAIR if m < n == 2 else 0.0)) for a in LEET[ch] for m in {1, min(n, 2)}] + [(" ", DROP)]
             elif ch not in MASKS:
                 options = [("", 0.0 if ch in PARTS else DROP), (" ", 0.0)]
+            if ch in MASKS and j == len(raw):
+                return self.ended(states, n)
             states = self.masked(states, n) if ch in MASKS else self.step(states, options)
             if spaced and j < len(raw):
                 states = self.step(states, [("", 0.0), (" ", BREAK)])
             i = j
-        text, parts = Wide.of(self.step(states, [(" ", 0.0)])).linked(0), []
-        while text:
-            text, out = text[0].back(text[1]) if isinstance(text[0], Wide) else text
-            parts.append(out)
-        return "".join(reversed(parts)).strip()
+        return spelled(*Wide.of(self.step(states, [(" ", 0.0)])).linked(0)).strip()
 
 
 _decoders: dict[int, Decoder] = {}
@@ -342,8 +380,13 @@ class Lexicon:
         return (f, w) if w > 0 else None
 
 
-#: Occurrences of an entry in one document that count at most.
-CAP = 4
+#: The half-way point, in occurrences, of how far repetition in one document tells.
+SATURATION = 8.0
+
+
+def worth(n: int) -> float:
+    """What ``n`` occurrences of an entry in one document count for: each further one less, as in BM25."""
+    return n * (SATURATION + 1) / (n + SATURATION)
 
 
 class Reader(dict):
@@ -379,7 +422,7 @@ class Reader(dict):
         found = [e for e in map(self.__getitem__, tokens) if e]
         found += [e for w in self.decoder.spaced(text) if (e := self.lexicon.best([], [w]))]
         n, by = max(1, len(tokens)), Counter(found)
-        total = sum(min(c, CAP) * w for (_, w), c in by.items())
+        total = sum(worth(c) * w for (_, w), c in by.items())
         return [total, total / n, max((w for _, w in by), default=0.0), float(len(by)), float(len(found)), len(found) / n, np.log(n)]
 
 
@@ -419,12 +462,12 @@ def distinct_rows(rows: DataFrame, most: int) -> set[int]:
     return kept
 
 
-def choose(names: list[str], pos: np.ndarray, neg: np.ndarray, docs: np.ndarray, n_pos: float, n_neg: float) -> dict[str, float]:
+def choose(names: list[str], pos: np.ndarray, neg: np.ndarray, docs: np.ndarray, n_pos: float, n_neg: float, tried: int) -> dict[str, float]:
     """Entries whose counts could hardly come about by chance, with their weights.
 
     ``pos`` and ``neg`` are occurrences in toxic and other documents (of
     ``n_pos`` and ``n_neg`` words), ``docs`` toxic documents. The likelihood
-    ratio has to outweigh the number of candidates. The best go first; a
+    ratio has to outweigh ``tried``, the number of candidates. The best go first; a
     beginning and a word that it begins are not both taken.
     """
     if not len(names) or not n_pos or not n_neg:
@@ -432,7 +475,7 @@ def choose(names: list[str], pos: np.ndarray, neg: np.ndarray, docs: np.ndarray,
     total, share = pos + neg, n_pos / (n_pos + n_neg)
     ratio = pos * np.log(np.maximum(pos, 1e-9) / (total * share)) + np.where(neg > 0, neg * np.log(np.maximum(neg, 1e-9) / (total * (1 - share))), 0)
     weight = np.log((pos + 0.5) / n_pos) - np.log((neg + 0.5) / n_neg)
-    good = np.flatnonzero((ratio > np.log(len(names)) + 4) & (weight > np.log(5)) & (docs >= 3))
+    good = np.flatnonzero((ratio > np.log(tried) + 4) & (weight > np.log(5)) & (docs >= 3))
     taken: dict[str, float] = {}
     begins: set[str] = set()
     for k in sorted(good, key=lambda k: (-ratio[k], -len(names[k]), names[k])):
@@ -464,34 +507,38 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
                 n[f] += c
         return n
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, n, in_docs = Reader(shared.value), Counter(), Counter()
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                if doc in kept.value:
-                    mine = counted(text, reader)
-                    in_docs.update(mine.keys())
-                    n.update({f: min(c, CAP) for f, c in mine.items()})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([in_docs[f] for f in n], pa.int64())], ["f", "n", "docs"])
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, size = Reader(shared.value), [0, 0]
+        seen: list[Counter] = [Counter(), Counter(), Counter()]  # thousandths in other and in toxic documents, toxic documents
 
-    found = rows.where("y = 1").mapInArrow(candidates, "f string, n long, docs long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs >= 3").orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).toArrow()
-    names = found.column("f").to_pylist()
-    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+        def out() -> pa.RecordBatch:
+            names = list(seen[0] | seen[1])
+            cols = [pa.array([c[f] for f in names], pa.int64()) for c in seen]
+            for c in seen:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *cols], ["f", "neg", "pos", "docs"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known, n, size = Reader(shared.value), index.value, Counter(), [0, 0]
         for b in batches:
             for doc, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))):
                 if doc in kept.value:
                     size[y] += len((text or "").split())
-                    if not y:
-                        n.update({known[f]: min(c, CAP) for f, c in counted(text, reader).items() if f in known})
-        n[-1], n[-2] = size[1], size[0]
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["at", "n"])
-
-    seen = {r["at"]: r["n"] for r in rows.mapInArrow(others, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    neg = np.array([seen.get(i, 0) for i in range(len(names))], float)
-    lexicon = Lexicon(choose(names, found.column("n").to_numpy().astype(float), neg, found.column("docs").to_numpy(), float(seen.get(-1, 0)), float(seen.get(-2, 0))))
+                    mine = counted(text, reader)
+                    seen[y].update({f: round(1000 * worth(c)) for f, c in mine.items()})
+                    if y:
+                        seen[2].update(mine.keys())
+            if len(seen[0]) + len(seen[1]) > 500_000:
+                yield out()
+        seen[0][""], seen[1][""] = size
+        yield out()
+
+    # All features of at most max_train texts are counted; what reaches the driver is what could hardly come about by chance.
+    found = stage(rows.mapInArrow(counts, "f string, neg long, pos long, docs long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("neg", "pos", "docs"))).where("docs >= 3 OR f = ''"), "toxic-counts")
+    sizes = found.where("f = ''").first()
+    n_neg, n_pos = (float(sizes["neg"]), float(sizes["pos"])) if sizes else (0.0, 0.0)
+    n_names = found.count() - 1
+    telling = found.where(f"f != '' AND (pos + 500) * {n_neg} > (neg + 500) * {n_pos}").toArrow()
+    neg, pos = (telling.column(c).to_numpy() / 1000 for c in ("neg", "pos"))
+    lexicon = Lexicon(choose(telling.column("f").to_pylist(), pos, neg, telling.column("docs").to_numpy(), n_pos, n_neg, n_names))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value, lexicon)
@@ -502,7 +549,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
     y, ids = got.column("y").to_numpy().astype(float), got.column("doc_id").to_numpy()
     order = [k for k in np.lexsort((y, ids)) if ids[k] in kept.value]
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_HITS)[order]
-    for b in (shared, kept, index):
+    for b in (shared, kept):
         b.unpersist()
     return Model(lexicon, gbt.fit(x, y[order], trees=60, depth=3, rate=0.15))
 

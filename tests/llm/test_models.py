@@ -148,6 +148,25 @@ def test_no_history_is_pruned(reader, monkeypatch):
         assert min(c + cost(text) for text, c in runs(raw) if text.strip() == states) <= best + 1e-6, (raw, states)
 
 
+def test_spaced_words_of_two_letters(spark):
+    decoder = toxicity.Decoder(toxicity.char_model(toxicity.count_ngrams(spark.createDataFrame([(1, "the ass and a mass " * 300)], DOCS))))
+    assert "ass" in decoder.spaced("what an a s s he is") and "ass" in decoder.spaced("a.s.s") and decoder.spaced("a a a a") == []
+
+
+def test_masks_that_end_a_word_read_as_step_by_step(reader):
+    decoder = reader[0].decoder
+    for raw in ("stup***", "id**", "w0rth***", "tr**h##", "***", "a" + "*" * 30):
+        states, i = {0: (0.0, None)}, 0
+        while i < len(raw):  # the same steps with no look-up of the end
+            n = len(raw[i:]) - len(raw[i:].lstrip(raw[i]))
+            ch = raw[i]
+            options = [(a * m, toxicity.SIGN * n + (toxicity.PAIR if m < n == 2 else 0.0)) for a in toxicity.LEET[ch] for m in {1, min(n, 2)}] + [(" ", toxicity.DROP)] if ch in toxicity.LEET else [(ch * n, 0.0)] + [(ch * m, toxicity.RUN if n > 2 else toxicity.PAIR) for m in (1, 2) if m < n]
+            states = decoder.masked(states, n) if ch in toxicity.MASKS else decoder.step(states, options)
+            i += n
+        wide = toxicity.Wide.of(decoder.step(states, [(" ", 0.0)]))
+        assert decoder.decode(raw) == toxicity.spelled(*wide.linked(0)).strip(), raw
+
+
 def test_plain_text_is_left_alone(reader):
     r, fitted = reader
     for text in ("a a a a a", "version 4.0 of 2.0, see 3.", "password=e3b3ed3cc8548923d6", "hello!!! $$$ *** ###", "a b c d e f g", ""):
