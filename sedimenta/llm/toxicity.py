@@ -381,7 +381,7 @@ class Lexicon:
 
 
 #: The half-way point, in occurrences, of how far repetition in one document tells.
-SATURATION = 8.0
+SATURATION = 3.0
 
 
 def worth(n: int) -> float:
