@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -178,6 +179,11 @@ def test_plain_text_is_left_alone(reader):
 PAGE = '<html><body><header class="site-header"><a href="/">Home</a></header><div class="cookie-notice"><p>We use cookies.</p></div><div class="post-content"><h1>A&amp;B &lt;title&gt;</h1><p>First paragraph   of the\n article, with enough words.<div class="ad">Buy now, it is great.</div><p>Second paragraph, also with words.<script>var t = "</p>";</script></div><section id="comments"><div class="comment"><p>Nice article, I liked it very much.</p></div></section><form><label>Mail</label></form><footer>&copy; all rights'
 
 
+@pytest.fixture(scope="module")
+def extractor(spark):
+    return html_extract.fit(tables(spark, "pages")[0])
+
+
 def test_pages(spark):
     pages = tables(spark, "pages")[0]
     forest = html_extract.fit(pages)
@@ -219,3 +225,61 @@ def test_decoding_never_goes_back(spark):
                 path.append(id(n) in content)
                 n = n.parent
             assert sum(a != b for a, b in zip(path, path[1:])) <= 2 and (not path[-1] or sum(a != b for a, b in zip(path, path[1:])) <= 1)
+
+
+#: Pages written by hand: html and the text that is wanted.
+WRITTEN = {
+    "more": (
+        '<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>First paragraph with enough words to count, it goes on.</p><p class="more text">A further paragraph, with words that matter, here.</p><p class="legal-case">The court held, in this case, that it was so.</p></article><footer>Copyright Acme</footer></body>',
+        'Title of it\nFirst paragraph with enough words to count, it goes on.\nA further paragraph, with words that matter, here.\nThe court held, in this case, that it was so.',
+    ),
+    "cookie": (
+        '<body><div class="x1"><p>We use cookies to improve this site.</p></div><div class="x2"><h1>The title here</h1><p>First paragraph with enough words to count, it goes on and on, for a while.</p><p>Second paragraph with enough words to count, it goes on and on, for a while.</p></div><div class="x3"><a href=/a>About</a> <a href=/b>Contact</a> Copyright Acme</div></body>',
+        'The title here\nFirst paragraph with enough words to count, it goes on and on, for a while.\nSecond paragraph with enough words to count, it goes on and on, for a while.',
+    ),
+    "werbung": (
+        '<body><article><h1>Der Titel</h1><p>Erster Absatz mit genug Worten, der weiter geht, und weiter.</p><div class="werbung">Jetzt kaufen und sparen</div><p>Zweiter Absatz mit genug Worten, der weiter geht, und weiter.</p></article></body>',
+        'Der Titel\nErster Absatz mit genug Worten, der weiter geht, und weiter.\nZweiter Absatz mit genug Worten, der weiter geht, und weiter.',
+    ),
+    "script": (
+        '<article><p>Alpha beta <script>x=1</script>gamma delta.</p><p>One <input name=q>two <svg><path d="M0"/><text>no</text></svg>three, and so on it goes.</p></article>',
+        'Alpha beta gamma delta.\nOne two three, and so on it goes.',
+    ),
+    "math": (
+        '<article><p>The formula <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is short, as we see.</p></article>',
+        'The formula x+1 is short, as we see.',
+    ),
+    "comment": (
+        '<body><article><h1>A story of old</h1><p>First paragraph with enough words to count, it goes on and on, for a while.</p><p>Second paragraph with enough words to count, it goes on and on, for a while.</p></article><section class="reader-comments"><h3>Anna Smith</h3><p>I liked this one, thanks.</p><h3>Bob</h3><p>Not me, sorry.</p></section></body>',
+        'A story of old\nFirst paragraph with enough words to count, it goes on and on, for a while.\nSecond paragraph with enough words to count, it goes on and on, for a while.',
+    ),
+    "apostrophe": (
+        "<div data-x=it's><p>Hello world one.</p></div><p>Second it's here.</p>",
+        "Hello world one.\nSecond it's here.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_pages_written_by_hand(extractor, name):
+    source, text = WRITTEN[name]
+    assert html_extract.main_text([source], extractor) == [text]
+
+
+def test_names_that_were_never_met(extractor):
+    """Structure alone has to tell where no mark is known."""
+    prose = [f"Paragraph {i} of the story goes on for a while, with commas, and it ends here." for i in range(6)]
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
+    page = f"<body><div class=qqx><ul>{links}</ul></div><div class=zzy>" + "".join(f'<p class="vv{i}">{x}</p>' for i, x in enumerate(prose)) + f"</div><div class=wwk><ul>{links}</ul></div></body>"
+    assert html_extract.main_text([page], extractor) == ["\n".join(prose)]
+
+
+def test_reading_is_linear_in_depth(extractor):
+    for source in ("<section>" * 100_000 + "deep", "<ul>" + "<div>" * 50_000 + "<li>a</li>" * 50_000, "<a b='" * 20_000, "<p " + "x=' " * 50_000, "</b></i>" * 100_000):
+        began = time.monotonic()
+        html_extract.main_text([source], extractor)
+        assert time.monotonic() - began < 20
+
+
+def test_marks_of_leaves_are_learned_from_the_pages(extractor):
+    assert extractor.scores["ad"] < -1 and "qqx" not in extractor.scores
