@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name
 
-#: A dimension of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: A dimension of at most this many rows and bytes (as JSON) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -33,8 +33,10 @@ def count_delta(before: DataFrame, after: DataFrame) -> int:
 
 
 def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join to a dimension. It is broadcast only if its counted rows are within the bound."""
-    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Left join to a dimension. It is broadcast only if its rows and bytes, as counted, are within the bounds."""
+    some = dimension.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("size"))
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return df.join(F.broadcast(dimension) if small else dimension, list(on), "left")
 
 

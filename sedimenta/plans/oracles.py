@@ -14,6 +14,13 @@ MESSAGES = """m AS (
   SELECT *, CASE WHEN event_id % 17 = 0 THEN '{"type": "edit", ' WHEN event_id % 19 = 0 THEN '["edit"]'
     ELSE '{"type":"' || CASE WHEN event_type = 'purchase' THEN 'edit' ELSE event_type END || '","meta":{"domain":"' || CASE WHEN user_id % 10 = 0 THEN 'canary' ELSE 'site' END || '"},"id":' || event_id || '}' END AS body FROM events)"""
 
+ODD = "CASE WHEN event_id % 7 = 0 THEN '{\"user_id\":\"zz' || user_id || '\"}' END"
+TITLES = """p AS (
+  SELECT p_partkey AS k, p_partkey::VARCHAR AS show_id, CASE WHEN p_partkey % 10 = 0 THEN 'Clip' WHEN p_partkey % 2 = 0 THEN 'Movie' ELSE 'TV Show' END AS content_type,
+    nullif(trim(CASE p_partkey % 4 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN '   ' WHEN 2 THEN NULL ELSE p_name END), '') AS title, 1890 + p_size * 4 AS release_year, p_size FROM part),
+b AS (SELECT *, 'b1' AS _batch_id, p_size AS duration_value, 'min' AS duration_unit FROM p UNION ALL SELECT *, 'b2', 2, 'Seasons' FROM p WHERE k % 3 = 0),
+j AS (SELECT *, title IS NOT NULL AS ok1, content_type <> 'Clip' AS ok2, release_year BETWEEN 1900 AND 2025 AS ok3 FROM b)"""
+
 ORACLES = {
     "select_filter": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 150000.0 AND o_orderpriority IS NOT NULL",
     "count_by_type": "SELECT p_type, count(*) AS n FROM part GROUP BY p_type",
@@ -58,6 +65,22 @@ SELECT l.o_custkey, l.st, CASE WHEN p.o_custkey IS NULL THEN 'new' WHEN p.st <>
     "safe_reload": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "decode_messages": f"WITH {MESSAGES} SELECT body AS event_json, 'changes' AS kafka_topic, (user_id % 4)::INTEGER AS kafka_partition, event_id AS kafka_offset, epoch_us(ts) AS enqueued_us FROM m",
     "keep_edits": "SELECT event_id AS kafka_offset FROM events WHERE event_type = 'purchase' AND event_id % 17 <> 0 AND event_id % 19 <> 0 AND user_id % 10 <> 0",
+    "append_rows": "SELECT c_custkey, c_name, c_nationkey FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier",
+    "contract_violations": "SELECT 0::BIGINT AS c_custkey, count(*) FILTER (c_custkey % 5 = 0) AS c_name, count(*) FILTER (c_custkey % 3 = 0) AS c_nationkey FROM customer",
+    "csv_inferred": "SELECT p_partkey::INTEGER AS p_partkey, p_name, p_size::INTEGER AS p_size, p_retailprice FROM part",
+    "dropped_csv": "SELECT n_nationkey::INTEGER AS n_nationkey, n_name FROM nation",
+    "lineage": "SELECT c_custkey, true AS named, epoch_us(TIMESTAMP '2024-05-06 07:08:09') AS ingested_us, DATE '2024-05-06' AS _load_date FROM customer",
+    "audit_by_name": "SELECT 5::BIGINT AS files, count(*) AS n, min(epoch_us(ts)) AS first_ts, max(epoch_us(ts)) AS last_ts FROM events",
+    "row_counts": "SELECT way, CASE way WHEN 'delta' THEN count(*) FILTER (o_orderstatus <> 'F') ELSE count(*) END AS rows FROM orders, (VALUES ('sql'), ('frame'), ('table'), ('delta')) v(way) GROUP BY way",
+    "sql_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15",
+    "ingest_rescue_types": f"SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, event_type, {ODD} AS _rescued_data FROM events",
+    "rescued_rows": f"SELECT event_id, {ODD} AS _rescued_data FROM events WHERE event_id % 7 = 0",
+    "publish_silver": f"""WITH {TITLES} SELECT show_id, content_type, title, DATE '2020-05-04' AS date_added, release_year::INTEGER AS release_year, duration_value::INTEGER AS duration_value, duration_unit, _batch_id
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY _batch_id DESC) AS r FROM j WHERE ok1 AND ok2 AND ok3) WHERE r = 1""",
+    "publish_quarantine": f"""WITH {TITLES} SELECT show_id, _batch_id, concat_ws('; ', CASE WHEN NOT ok1 THEN 'title is null or empty' END, CASE WHEN NOT ok2 THEN 'content_type is not Movie or TV Show' END,
+  CASE WHEN NOT ok3 THEN 'release_year is missing or outside accepted range' END) AS _quality_errors FROM j WHERE NOT (ok1 AND ok2 AND ok3)""",
+    "title_quality": f"""WITH {TITLES} SELECT 0::BIGINT AS invalid_show_id, count(*) FILTER (NOT ok1) AS invalid_title, count(*) FILTER (NOT ok2) AS invalid_content_type, count(*) FILTER (NOT ok3) AS invalid_release_year, 0::BIGINT AS invalid_duration FROM j""",
+    "compact_ranges": "SELECT 3::BIGINT AS num_files, 0::BIGINT AS overlaps",
     "compact_rows": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "table_detail": "SELECT 3::BIGINT AS num_files, (SELECT count(*) FROM orders) AS rows, true AS has_bytes",
 }

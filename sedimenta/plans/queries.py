@@ -78,7 +78,7 @@ def parse_duration(spark, d):
 def base_name_audit(spark, d):
     e = t(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     path = storage.scratch(spark, "split")
-    e.repartition("event_type").write.partitionBy("event_type").option("header", True).csv(path)
+    e.write.partitionBy("event_type").option("header", True).csv(path)
     read = files.read_csv(spark, path, "event_id long, at long", multiLine=False).select("event_id", "at", files.source_file().alias("_source_file"))
     per = audit.file_audit(read, ts="at")
     kind = F.regexp_extract("file", "event_type=([^/]+)/", 1)
@@ -342,10 +342,124 @@ def table_detail(spark, d):
     return layout.table_summary(_compacted(spark, d).read()).select("num_files", "rows", (F.col("size_in_bytes") > 0).alias("has_bytes"))
 
 
+def append_rows(spark, d):
+    table, s = _region_table(spark, d)
+    return table.append(s.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"))).read()
+
+
+def contract_violations(spark, d):
+    table, _ = _region_table(spark, d)
+    rows = table.read().select(F.col("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("c_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("c_nationkey"))
+    agreed = contract.Contract(table.schema(), required=("c_custkey", "c_name", "c_nationkey"))
+    agreed.check(rows)
+    return agreed.violations(rows)
+
+
+def csv_inferred(spark, d):
+    path = storage.scratch(spark, "inferred")
+    files.split_to_files(t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path, 3)
+    return files.read_csv(spark, path, infer=True, multiLine=False)
+
+
+def dropped_csv(spark, d):
+    """One small file of a chosen name, found as the first path that can be read."""
+    folder = storage.scratch(spark, "dropped")
+    files.drop_csv(t(spark, d, "nation").select("n_nationkey", "n_name"), folder, "nations.csv")
+    return files.read_first_available(spark, [f"{folder}/absent.csv", f"{folder}/nations.csv"], schema="n_nationkey int, n_name string")
+
+
+def lineage(spark, d):
+    path, at = storage.scratch(spark, "lineage"), F.lit("2024-05-06 07:08:09").cast("timestamp")
+    files.split_to_files(t(spark, d, "customer").select("c_custkey"), path, 2)
+    read = files.add_lineage(files.read_csv(spark, path, "c_custkey long", multiLine=False), at)
+    return read.select("c_custkey", S.base_name("_source_file").startswith("part-").alias("named"), F.unix_micros("_ingested_at").alias("ingested_us"), "_load_date")
+
+
+def audit_by_name(spark, d):
+    path = storage.scratch(spark, "audit")
+    e = t(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    files.split_to_files(e, path, 5)
+    read = files.read_csv(spark, path, "event_id long, at long", multiLine=False).select("*", files.source_file().alias("_source_file"))
+    per = audit.file_audit(read, ts="at", by_name=True)
+    return per.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def row_counts(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    table = Table(spark, storage.scratch(spark, "counts"), "counted").overwrite(o)
+    by_sql = spark.sql(f"SELECT 'sql' AS way, count(*) AS rows FROM {table.view()}")
+    by_frame = audit.row_count(o).select(F.lit("frame").alias("way"), "rows")
+    more = audit.count_delta(o.where("o_orderstatus = 'F'"), o)
+    return by_sql.unionByName(by_frame).unionByName(spark.createDataFrame([("table", table.row_count()), ("delta", more)], "way string, rows long"))
+
+
+def sql_limit(spark, d):
+    table = Table(spark, storage.scratch(spark, "sql"), "ranked").overwrite(t(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    return spark.sql(f"SELECT o_orderkey, o_totalprice FROM {table.view()} ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+
+
+def _rescue_types(spark, d):
+    folder = storage.scratch(spark, "landing")
+    e = t(spark, d, "events").select(*[F.col(c).cast("string").alias(c) for c in EVENT_COLUMNS])
+    odd = F.when(F.col("event_id").cast("long") % 7 == 0, F.concat(F.lit("zz"), F.col("user_id"))).otherwise(F.col("user_id"))
+    files.split_to_files(e.withColumn("user_id", odd), folder, 4)
+    p, schema = ingest.Pipeline(storage.scratch(spark, "ingest"), "types"), _ingest_schema()
+    ingest.ingest_files(spark, folder, p, schema=schema, rescued=True, multiLine=False)
+    return ingest.read_ingested(spark, p, schema, rescued=True)
+
+
+def ingest_rescue_types(spark, d):
+    return _rescue_types(spark, d).select(*EVENT_COLUMNS, "_rescued_data")
+
+
+def rescued_rows(spark, d):
+    return quality.rescued_rows(_rescue_types(spark, d)).select("event_id", "_rescued_data")
+
+
+def _titles(spark, d) -> DataFrame:
+    """Parts as title batches: padded names, some bad types and years, and a second batch of every third key."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    kind = F.when(k % 10 == 0, "Clip").when(k % 2 == 0, "Movie").otherwise("TV Show")
+    first = p.select(
+        k.cast("string").alias("show_id"), kind.alias("type"), _padded().alias("title"), F.lit("May 4, 2020").alias("date_added"), (F.lit(1890) + F.col("p_size") * 4).cast("string").alias("release_year"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" min")).alias("duration"), F.lit("b1").alias("_batch_id"), F.lit(1).cast("bigint").alias("_ingestion_sequence"), F.lit("2024-01-01").cast("timestamp").alias("_ingested_at"),
+    )
+    later = first.where(F.col("show_id").cast("long") % 3 == 0).withColumns({"duration": F.lit("2 Seasons"), "_batch_id": F.lit("b2"), "_ingestion_sequence": F.lit(2).cast("bigint")})
+    return first.unionByName(later)
+
+
+def _published(spark, d) -> tuple[Table, Table]:
+    root = storage.scratch(spark, "silver")
+    updates, quarantine = Table(spark, root, "updates"), Table(spark, root, "quarantine")
+    silver.publish_updates(_titles(spark, d), updates, quarantine, F.lit("2024-02-01").cast("timestamp"), F.lit("2024-02-01").cast("date"))
+    return updates, quarantine
+
+
+def publish_silver(spark, d):
+    return _published(spark, d)[0].read().select("show_id", "content_type", "title", "date_added", "release_year", "duration_value", "duration_unit", "_batch_id")
+
+
+def publish_quarantine(spark, d):
+    return _published(spark, d)[1].read().select("show_id", "_batch_id", "_quality_errors")
+
+
+def title_quality(spark, d):
+    return quality.quality_report(silver.clean_titles(_titles(spark, d)), silver.title_report(F.lit("2024-02-01").cast("date")))
+
+
+def compact_ranges(spark, d):
+    """Files of a compacted table, and how many of them start before the one before them ends."""
+    rows = _compacted(spark, d).read().select(F.struct("o_orderstatus", "o_orderkey").alias("key"), files.source_file().alias("file"))
+    per = rows.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    held = F.sort_array(F.collect_list(F.struct("low", "high")))  # a row for each of three files
+    return per.agg(held.alias("r")).select(F.size("r").cast("long").alias("num_files"), F.expr("size(filter(sequence(1, size(r) - 1), i -> r[i].low <= r[i - 1].high))").cast("long").alias("overlaps"))
+
+
 NAMES = (
     "select_filter count_by_type enrich_left flatten_nested top_k clean_strings parse_dates parse_duration base_name_audit row_hash ensure_columns change_batches "
     "gate_valid gate_quarantine latest_per_key prepare_updates classify_changes scd1_state scd2_history duplicate_keys quality_report contract_reject contract_evolve "
-    "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages keep_edits compact_rows table_detail"
+    "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages keep_edits compact_rows table_detail "
+    "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges"
 ).split()
 
 

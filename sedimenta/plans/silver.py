@@ -11,10 +11,12 @@ from ..functions.scalars import allowed, clean_string, parse_duration, parse_lon
 from ..operators.bronze import ensure_columns
 from ..operators.cdc import latest_per_key
 from ..operators.quality import quality_gate
+from ..sources import storage
 from ..sources.tables import Table
 
 #: The columns that title batches may have, with the types of those that a batch may lack.
 KNOWN = {c: "string" for c in "show_id type title director cast country date_added release_year rating duration listed_in description content_language _batch_id".split()} | {"_ingestion_sequence": "bigint", "_source_system": "string", "_source_file": "string", "_ingested_at": "timestamp"}
+#: The columns whose record hash tells changes, in the order that they are hashed, and what ranks the rows of a key.
 BUSINESS = "show_id content_type title director cast country date_added release_year rating duration_raw duration_value duration_unit genres description content_language".split()
 ORDER = ("_ingested_at", "_ingestion_sequence", "_batch_id")
 
@@ -60,7 +62,7 @@ def prepare_updates(cleaned: DataFrame, rules: Sequence[tuple[str, Column]], key
 
 
 def publish_updates(bronze: DataFrame, updates: Table, quarantine: Table, run_ts: Column | None = None, as_of: Column | None = None) -> None:
-    """Rebuilds the staged updates, and the quarantine of this run alone."""
-    prepared, rejected = prepare_updates(clean_titles(bronze, run_ts), title_rules(as_of), ["show_id"], run_ts=run_ts)
+    """Rebuilds the staged updates, and the quarantine of this run alone; Bronze is read and cleaned once for both."""
+    prepared, rejected = prepare_updates(storage.staged(clean_titles(bronze, run_ts), "cleaned"), title_rules(as_of), ["show_id"], run_ts=run_ts)
     quarantine.overwrite(rejected)
     updates.overwrite(prepared)

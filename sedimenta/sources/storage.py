@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,14 +36,19 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file (a schema, say) under another name, then moves it into place."""
+    """Writes a small file (a schema, say) under another name, then renames it over the old one in one step.
+
+    Readers find the old text or the new one, and a crash leaves the old one.
+    """
     fs, p = _fs(spark, path)
-    temp = f"{path}.{uuid.uuid4().hex[:8]}"
-    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(temp), True)
+    hadoop, p = spark._jvm.org.apache.hadoop.fs, fs.makeQualified(p)
+    temp = hadoop.Path(f"{p.toString()}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(temp, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
-    fs.delete(p, False)
-    move(spark, temp, path)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(temp, p, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -57,10 +62,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to a shared folder and read back, so that its users see the same rows."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, local only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

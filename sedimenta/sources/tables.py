@@ -81,6 +81,7 @@ class Table:
         ``step`` has to keep rows in their buckets, as merges on ``keys`` do.
         A null key has a bucket too. Columns that ``step`` adds are taken in.
         """
+        source = storage.staged(source, "merge-source")
         touched = {str(r[0]) for r in source.select(self._bucket()).distinct().collect()}  # at most ``buckets`` numbers
         old = self.manifest()
         merged = step(self._of_buckets({b: x for b, x in old.items() if b in touched}), source)
@@ -114,7 +115,7 @@ class Table:
         return self if self.exists() else self.overwrite(df.limit(0))
 
     def append(self, df: DataFrame, evolve: bool = False) -> "Table":
-        """Adds rows; tables in buckets are merged into instead. Unknown columns are rejected, or added if ``evolve``; either way nothing is written on error."""
+        """Adds rows; tables in buckets are merged into instead. Unknown columns are rejected, or added if ``evolve``; rejected rows leave the table as it is. Rows are written before the schema names their new columns, so it never names what is not there."""
         if self.buckets:
             raise ValueError("a table in buckets takes rows by merge")
         live, schema = self._need(), self.schema()
@@ -122,9 +123,9 @@ class Table:
             schema = widened_schema(schema, df.schema)
         else:
             check_same(schema, df.schema)
+        df.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(live)
         if evolve and schema != self.schema():
             storage.write_text(self.spark, f"{live}/_schema.json", schema.json())
-        df.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(live)
         return self
 
     def row_count(self) -> int:

@@ -56,9 +56,12 @@ def logged_columns(spark: SparkSession, p: Pipeline) -> list[str]:
 
 
 def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header. First lines are found on the executors; a micro-batch's paths are bounded by its file limit."""
+    """Files by header, their first line that is not blank; files without one are left out.
+
+    Lines are found on the executors; a micro-batch's paths are bounded by its file limit.
+    """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    first = lines.where("at = 0 AND trim(value) != ''").groupBy("file").agg(F.min_by("value", "row").alias("header"))
     out: dict[tuple[str, ...], list[str]] = {}
     for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
         if r["header"].count('"') % 2:
@@ -90,8 +93,8 @@ def ingest_files(spark: SparkSession, source: str, p: Pipeline, mode: str = "fix
     ``mode``: ``fixed`` keeps the columns of ``schema``; ``add_new_columns``
     keeps strings, records columns it has not met and raises ``SchemaChanged``
     so that a restart takes them in; ``rescue`` keeps the recorded columns.
-    Columns outside the schema are dropped, or with ``rescued`` kept as JSON in
-    ``_rescued_data``. ``trigger``: ``available_now`` drains in batches of
+    Columns outside the schema are dropped and cells that do not fit their type
+    become null, or with ``rescued`` both are kept as JSON in ``_rescued_data``. ``trigger``: ``available_now`` drains in batches of
     ``max_files``, ``once`` in one batch whatever the limit.
     """
     if mode == "fixed" and schema is None:
@@ -122,8 +125,10 @@ def ingest_files(spark: SparkSession, source: str, p: Pipeline, mode: str = "fix
             extra = [c for c in header if c not in known]
             cells += [F.col("_metadata.file_path").alias("_source_file"), ts.alias("_ingested_at"), F.to_date(ts).alias("_load_date")]
             if rescued:
-                some = F.coalesce(*[F.col(f"`{c}`") for c in extra]) if extra else F.lit(None)
-                text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in extra])) if extra else F.lit(None).cast("string")
+                odd = [F.col(f"`{c}`") for c in extra]
+                odd += [F.when(F.col(f"`{c}`").try_cast(types[c]).isNull(), F.col(f"`{c}`")).alias(c) for c in header if c in types]
+                some = F.coalesce(*odd) if odd else F.lit(None)
+                text = F.to_json(F.struct(*odd)) if odd else F.lit(None).cast("string")
                 cells.append(F.when(some.isNotNull(), text).alias(RESCUED))
             part = rows.select(*cells)
             out = part if out is None else out.unionByName(part)
@@ -158,6 +163,11 @@ def progress(query: StreamingQuery) -> list[dict]:
     return [{"batch_id": x["batchId"], "num_input_rows": x["sources"][0]["numInputRows"], "duration_ms": x["durationMs"].get("triggerExecution")} for x in query.recentProgress]
 
 
+def progress_frame(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """``progress`` as a frame."""
+    return spark.createDataFrame([tuple(x.values()) for x in progress(query)], "batch_id long, num_input_rows long, duration_ms long")
+
+
 def reset(spark: SparkSession, p: Pipeline, table: bool = True) -> None:
     """Forgets the checkpoint and, for a safe reload, the table; the schema log stays."""
     storage.delete(spark, p.checkpoint)
