@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
@@ -62,8 +62,8 @@ def small_side(df: DataFrame, width: int = 16) -> DataFrame:
     return F.broadcast(df) if is_small(df, width) else df
 
 
-#: A key is hot if it has more than one part in HOT of all rows.
-HOT = 1_000
+#: A key is hot if it has more than one part in HOT of all rows, and more than HOT_ROWS: fewer are no load for a task.
+HOT, HOT_ROWS = 1_000, 300
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int | None = None) -> DataFrame:
@@ -71,15 +71,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int
 
     Hot keys, of which there are fewer than ``HOT``, are broadcast, so their
     rows stay where they are; the others are joined by a shuffle in which no
-    key has more than one part in ``HOT`` of all rows. Both sides are read
+    key is hot. Both sides are read
     twice and should be staged; ``right`` should be of narrow columns. Rows
     whose key is null or unknown are left out. ``total`` is the sum of ``rows``.
     """
     total = total or right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) * HOT > total
-    few = F.broadcast(right.where(hot))
-    by_shuffle = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key)
-    return left.join(few, key).unionByName(by_shuffle)
+    hot = (F.col(rows) * HOT > total) & (F.col(rows) > HOT_ROWS)
+    keys = [r[0] for r in right.where(hot).select(key).collect()]  # fewer than HOT
+    if not keys:
+        return left.join(right, key)
+    values = [F.struct(*map(F.lit, k)) if isinstance(k, Row) else F.lit(k) for k in keys]
+    by_shuffle = left.where(~F.col(key).isin(*values)).join(right.where(~hot), key)
+    return left.join(F.broadcast(right.where(hot)), key).unionByName(by_shuffle)
 
 
 def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:

@@ -61,6 +61,7 @@ def test_hot_lines_are_joined_where_they_are(spark, monkeypatch):
     docs = docs_with_lines(5)
     df = spark.createDataFrame(docs, brute.DOCS).repartition(5)
     want = {d: "\n".join(k) for d, (k, _) in brute.deduped_lines(docs).items()}
+    monkeypatch.setattr(staging, "HOT_ROWS", 0)
     for hot in (1, 8, 1000):  # none is hot, some are, all are
         monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(staging, "HOT", hot)
