@@ -64,6 +64,7 @@ SELECT l.o_custkey, l.st, CASE WHEN p.o_custkey IS NULL THEN 'new' WHEN p.st <>
     "unsafe_reload": "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type",
     "safe_reload": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "decode_messages": f"WITH {MESSAGES} SELECT body AS event_json, 'changes' AS kafka_topic, (user_id % 4)::INTEGER AS kafka_partition, event_id AS kafka_offset, epoch_us(ts) AS enqueued_us FROM m",
+    "stream_schema_merge": "SELECT event_id AS kafka_offset, CASE WHEN event_id % 2 = 0 THEN 'changes' END AS kafka_topic, (user_id % 4)::INTEGER AS kafka_partition, CASE WHEN event_id % 2 = 1 THEN (user_id % 4 + 10)::INTEGER END AS shard FROM events",
     "keep_edits": "SELECT event_id AS kafka_offset FROM events WHERE event_type = 'purchase' AND event_id % 17 <> 0 AND event_id % 19 <> 0 AND user_id % 10 <> 0",
     "append_rows": "SELECT c_custkey, c_name, c_nationkey FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier",
     "contract_violations": "SELECT 0::BIGINT AS c_custkey, count(*) FILTER (c_custkey % 5 = 0) AS c_name, count(*) FILTER (c_custkey % 3 = 0) AS c_nationkey FROM customer",

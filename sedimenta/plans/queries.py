@@ -320,10 +320,21 @@ def decode_messages(spark, d):
     for _ in range(2):
         stream = spark.readStream.schema(messages.MESSAGE_SCHEMA).parquet(landed)
         messages.stream_to_table(messages.decode_messages(stream, stamped=False), f"{out}/table", f"{out}/checkpoint")
-    rows = messages.read_stream_table(spark, f"{out}/table", "event_json string, kafka_topic string, kafka_partition int, kafka_offset bigint, kafka_enqueued_at timestamp")
+    rows = messages.read_stream_table(spark, f"{out}/table")
     return rows.select("event_json", "kafka_topic", "kafka_partition", "kafka_offset", F.unix_micros("kafka_enqueued_at").alias("enqueued_us"))
 
 
+def stream_schema_merge(spark, d):
+    """A stream whose second run has one column more and one less than the first."""
+    landed, out = storage.scratch(spark, "messages"), storage.scratch(spark, "bronze")
+    for k in range(2):
+        _messages(spark, d).where(F.col("offset") % 2 == k).write.mode("append").parquet(landed)
+        rows = messages.decode_messages(spark.readStream.schema(messages.MESSAGE_SCHEMA).parquet(landed), stamped=False).select("kafka_offset", "kafka_topic", "kafka_partition")
+        rows = rows.withColumn("shard", F.col("kafka_partition") + 10).drop("kafka_topic") if k else rows
+        messages.stream_to_table(rows, f"{out}/table", f"{out}/checkpoint")
+    return messages.read_stream_table(spark, f"{out}/table")
+
+
 def keep_edits(spark, d):
     return messages.keep_edits(messages.decode_messages(_messages(spark, d), stamped=False)).select("kafka_offset")
 
@@ -458,7 +469,7 @@ def compact_ranges(spark, d):
 NAMES = (
     "select_filter count_by_type enrich_left flatten_nested top_k clean_strings parse_dates parse_duration base_name_audit row_hash ensure_columns change_batches "
     "gate_valid gate_quarantine latest_per_key prepare_updates classify_changes scd1_state scd2_history duplicate_keys quality_report contract_reject contract_evolve "
-    "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages keep_edits compact_rows table_detail "
+    "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages stream_schema_merge keep_edits compact_rows table_detail "
     "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges"
 ).split()
 

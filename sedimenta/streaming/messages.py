@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..operators.contract import widened_schema
+from ..sources import storage
 from .ingest import batch_writer
 
 #: Fixed value: the columns that Spark's Kafka source has.
@@ -23,7 +28,7 @@ def read_messages(spark: SparkSession, options: dict[str, str]) -> DataFrame:
 
 def decode_messages(df: DataFrame, run_ts: Column | None = None, stamped: bool = True) -> DataFrame:
     """Payload as text and delivery columns as ``kafka_*``; parsing is left to Silver."""
-    out = df.select(
+    out = df.select(  # fixed values: the names that readers of the table expect
         F.col("value").cast("string").alias("event_json"), F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"),
         F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_enqueued_at"),
     )
@@ -46,13 +51,38 @@ def keep_edits(df: DataFrame, json_col: str = "event_json") -> DataFrame:
     return df.where(F.coalesce(is_object & meta_fits & (kind == "edit") & ~F.coalesce(domain == "canary", F.lit(False)), F.lit(False)))
 
 
+def table_schema(spark: SparkSession, table: str) -> StructType | None:
+    """The columns of all batches written so far; null before the first."""
+    text = storage.read_text(spark, f"{table}/_schema.json")
+    return StructType.fromJson(json.loads(text)) if text else None
+
+
 def stream_to_table(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends what a stream holds now to Parquet, batch by batch; a batch that runs again replaces itself."""
-    writer = df.writeStream.outputMode("append").foreachBatch(batch_writer(table, lambda batch, _: batch)).option("checkpointLocation", checkpoint)
+    """Appends what a stream holds now to Parquet, batch by batch; a batch that runs again replaces itself.
+
+    Columns that the table does not have yet are added to its schema, and read
+    as null in older batches; columns that ``df`` lacks are null in its rows. A
+    column of another type ends the stream before anything is written.
+    """
+
+    def merged(batch: DataFrame, _: int) -> DataFrame:
+        known = table_schema(batch.sparkSession, table)
+        schema = batch.schema if known is None else widened_schema(known, batch.schema)
+        if schema != known:
+            storage.write_text(batch.sparkSession, f"{table}/_schema.json", schema.json())
+        return batch
+
+    writer = df.writeStream.outputMode("append").foreachBatch(batch_writer(table, merged)).option("checkpointLocation", checkpoint)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def read_stream_table(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, _ckpt string, _batch string").parquet(table).drop("_ckpt", "_batch")
+def read_stream_table(spark: SparkSession, table: str, schema: StructType | str | None = None) -> DataFrame:
+    """The table's rows, in the columns of ``schema``: all that its batches have, unless it is given."""
+    known = schema or table_schema(spark, table)
+    if known is None:
+        raise LookupError(f"{table} has no batch yet")
+    fields = StructType.fromDDL(known) if isinstance(known, str) else known
+    full = StructType(list(fields)).add("_ckpt", "string").add("_batch", "string")
+    return spark.read.schema(full).parquet(table).drop("_ckpt", "_batch")

@@ -102,3 +102,20 @@ def test_messages_restart(spark):
     got = messages.read_stream_table(spark, f"{out}/t", "event_json string, kafka_topic string, kafka_offset bigint")
     assert rows(got) == [("{}", "t", 1)]
     assert messages.kafka_options("h:1", "t")["startingOffsets"] == "earliest"
+
+
+def test_appended_streams_merge_their_schemas(spark):
+    landed, out = storage.scratch(spark, "rows"), storage.scratch(spark, "out")
+    with pytest.raises(LookupError):
+        messages.read_stream_table(spark, f"{out}/t")
+    spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(landed)
+    messages.stream_to_table(spark.readStream.schema("a int, b string").parquet(landed), f"{out}/t", f"{out}/c")
+    spark.createDataFrame([(2, 3.5)], "a int, c double").write.mode("append").parquet(landed)
+    messages.stream_to_table(spark.readStream.schema("a int, c double").parquet(landed), f"{out}/t", f"{out}/c")
+    got = messages.read_stream_table(spark, f"{out}/t")
+    assert got.columns == ["a", "b", "c"] and rows(got) == [(1, "x", None), (2, None, 3.5)]
+    assert rows(messages.read_stream_table(spark, f"{out}/t", "a int")) == [(1,), (2,)]
+    spark.createDataFrame([(3, 1)], "a int, b int").write.mode("append").parquet(landed)
+    with pytest.raises(Exception, match="changed types"):
+        messages.stream_to_table(spark.readStream.schema("a int, b int").parquet(landed), f"{out}/t", f"{out}/c")
+    assert messages.read_stream_table(spark, f"{out}/t").count() == 2
