@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import free_prefix, stage
 
 #: Rates tables with at most this many sources are broadcast; larger ones are joined with salted keys.
 BROADCAST_SOURCES = 10_000
@@ -96,28 +96,32 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     Ties of ``shuffle_key`` keep no set order. An empty table gives an empty one.
     """
     rates = stage(with_slices(source_rates(docs, weights, total, source_col, max_rate)), "mix-rates")
+    own = free_prefix(docs.columns)  # of the columns used on the way; a struct around the row would be cut up wrongly by the optimiser when a reader takes some of its fields through two explodes
+    c = lambda x: F.col(own + x)
+    broadcast = rates.count() <= BROADCAST_SOURCES
+    rates = rates.select(*[F.col(x).alias(own + x) for x in rates.columns])
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("of"), name.alias("name"), uniform(seed, name).alias("u"))
-    if rates.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(rates), F.col("of").eqNullSafe(F.col("source")))
+    kept = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("copy", "shuffle_key")]
+    rows = docs.select(*kept, F.col(source_col).alias(own + "of"), name.alias(own + "name"), uniform(seed, name).alias(own + "u"))
+    if broadcast:
+        joined = rows.join(F.broadcast(rates), c("of").eqNullSafe(c("source")))
     else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("slot", F.floor(F.col("u") * SALTS).cast("int"))
-        joined = rows.join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("slot") == F.col("salt")))
-    below = lambda cdf, at: F.size(F.filter(cdf, lambda c: c <= at))
+        salted = rates.withColumn(own + "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(own + "slot", F.floor(c("u") * SALTS).cast("int"))
+        joined = rows.join(salted, c("of").eqNullSafe(c("source")) & (c("slot") == c("salt")))
+    below = lambda cdf, at: F.size(F.filter(cdf, lambda x: x <= at))
 
     def add(n: Column, k: Column) -> Column:
-        return n + below(F.when(k < F.col("full"), F.col("full_cdf")).otherwise(F.col("cdf")), uniform(seed, F.col("name"), k))
+        return n + below(F.when(k < c("full"), c("full_cdf")).otherwise(c("cdf")), uniform(seed, c("name"), k))
 
-    n = F.when(F.col("full") == 0, below("cdf", F.col("u"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("full")), below("full_cdf", F.col("u")), add))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("name"), F.col("copy").cast("string"))
+    n = F.when(c("full") == 0, below(c("cdf"), c("u"))).otherwise(F.aggregate(F.sequence(F.lit(1), c("full")), below(c("full_cdf"), c("u")), add))
+    key = F.concat_ws(":", F.lit(str(seed)), c("name"), F.col("copy").cast("string"))
     return (
-        joined.select("row", "name", n.alias("n"))
-        .where(F.col("n") > 0)
-        .withColumn("from", F.explode(F.expr(f"sequence(0, n - 1, {COPIES})")))
-        .withColumn("copy", F.explode(F.expr(f"sequence(from, least(n, from + {COPIES}) - 1)")))
-        .select("row.*", "copy", F.md5(key.cast("binary")).alias("shuffle_key"))
+        joined.select(*kept, c("name"), n.alias(own + "n"))
+        .where(c("n") > 0)
+        .withColumn(own + "from", F.explode(F.expr(f"sequence(0, {own}n - 1, {COPIES})")))
+        .withColumn("copy", F.explode(F.expr(f"sequence({own}from, least({own}n, {own}from + {COPIES}) - 1)")))
+        .select(*kept, "copy", F.md5(key.cast("binary")).alias("shuffle_key"))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )

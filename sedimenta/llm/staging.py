@@ -45,6 +45,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A beginning of names that no column has."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches, unless the session has set a size of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -71,9 +79,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int
 
     Hot keys, of which there are fewer than ``HOT``, are broadcast, so their
     rows stay where they are; the others are joined by a shuffle in which no
-    key is hot. Both sides are read
-    twice and should be staged; ``right`` should be of narrow columns. Rows
-    whose key is null or unknown are left out. ``total`` is the sum of ``rows``.
+    key is hot. Both sides are read twice and should be staged; ``right`` should
+    be of narrow columns. Rows whose key is null or unknown are left out.
+    ``total`` is the sum of ``rows``.
     """
     total = total or right.agg(F.sum(rows)).first()[0] or 0
     hot = (F.col(rows) * HOT > total) & (F.col(rows) > HOT_ROWS)

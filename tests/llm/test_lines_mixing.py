@@ -147,3 +147,15 @@ def test_sql_draws_in_slices_too(spark):
     con.register("documents", df.toPandas())
     want = Counter(tuple(r) for r in con.execute(f"SELECT doc_id, copy, shuffle_key FROM ({oracles.OP8})").fetchall())
     assert Counter(tuple(r) for r in M.query(df).select("doc_id", "copy", "shuffle_key").collect()) == want and len(want) > 1500
+
+
+def test_any_columns_of_a_mixture_can_be_read(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "en", "ab"[k % 2], 2) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", F.lit("x").alias("own_name"), F.lit("y").alias("OWN__n"), F.lit("z").alias("full"))
+    whole = M.mix_sources(docs)
+    assert whole.columns == [*docs.columns, "copy", "shuffle_key"]
+    want = [r.asDict() for r in whole.collect()]
+    for k in range(1, len(docs.columns) + 1):
+        part = docs.columns[:k]
+        got = M.mix_sources(docs).select(*part).collect()
+        assert sorted(map(tuple, got)) == sorted(tuple(r[c] for c in part) for r in want), part
