@@ -124,6 +124,41 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
+#: The 256 remainders of the CRC-32 with the reversed polynomial 0xEDB88320, by rule.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS v FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text in UTF-8; ``t`` of ``crc_table`` has to be in reach."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{UPPER.lower()}') AS run FROM documents),
+told AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_crc32("doc || ':' || run")} AS h FROM told, crc_table),
+spoiled AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+picked AS (SELECT b.word, n_near, b.m, min(e.other) AS other FROM best b JOIN near e ON e.word = b.word AND e.m = b.m GROUP BY ALL),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN p.m >= 5 * w.n THEN other END AS form, CASE WHEN p.m >= 5 * w.n THEN p.m END AS form_n
+  FROM words w LEFT JOIN picked p ON p.word = w.word),
+chain AS (SELECT word, form AS up FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.up WHERE f.form IS NOT NULL),
+ends AS (SELECT word, up AS root FROM chain c WHERE up NOT IN (SELECT word FROM forms WHERE form IS NOT NULL))
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN ends e ON e.word = f.word
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1, "op3_chat": OP3, "op5_line_dedup": OP5, "op6_rules": OP6, "op7_warc": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10}
+    return {"op1_near_dedup": OP1, "op3_chat": OP3, "op5_line_dedup": OP5, "op6_rules": OP6, "op7_warc": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10,
+        "op11_spelling": OP11}

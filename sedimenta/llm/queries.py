@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, toxicity, warc
+from . import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,5 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _over(mixing.query, "documents"),
         "op9_toxicity": _over(toxicity.digest, "documents", "labels"),
         "op10_decontaminate": _over(decontaminate.digest, "documents", "benchmark"),
+        "op11_spelling": _over(spelling.digest, "documents"),
     }

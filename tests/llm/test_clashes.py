@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, staging, toxicity, warc
+from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, staging, toxicity, warc
 
 DIR = "/root/testdata/sf0.001"
 KEEPING = {
@@ -27,6 +27,7 @@ TELLING = {
     "warc": (warc, lambda pages, t: warc.digest(pages), "pages"),
     "toxicity": (toxicity, lambda docs, t: toxicity.digest(docs, t("labels")), "documents"),
     "decontaminate": (decontaminate, lambda docs, t: decontaminate.digest(docs, t("benchmark")), "documents"),
+    "spelling": (spelling, lambda docs, t: spelling.digest(docs), "documents"),
     "html": (html_extract, lambda pages, t: html_extract.extract(pages), "pages"),
 }
 
