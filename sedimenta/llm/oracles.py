@@ -158,7 +158,19 @@ ends AS (SELECT word, up AS root FROM chain c WHERE up NOT IN (SELECT word FROM
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN ends e ON e.word = f.word
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {BLANK_WORDS}) AS words FROM documents),
+places AS (SELECT r, unnest(range(1, len(words) - 33)) AS i, unnest(list_transform(range(1, len(words) - 33), lambda i: sha256(array_to_string(words[i:i + 34], ' ')))) AS win FROM d WHERE len(words) >= 35),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM places) WHERE n > 1),
+covered AS (SELECT DISTINCT r, i + j AS i FROM again, range(35) t(j)),
+spelled AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (SELECT s.r, string_agg(s.word, ' ' ORDER BY s.i) AS kept FROM spelled s ANTI JOIN covered c ON c.r = s.r AND c.i = s.i GROUP BY s.r),
+lost AS (SELECT r, count(*) AS n FROM covered GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost l ON l.r = d.r LEFT JOIN kept k ON k.r = d.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_near_dedup": OP1, "op3_chat": OP3, "op5_line_dedup": OP5, "op6_rules": OP6, "op7_warc": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10,
-        "op11_spelling": OP11}
+        "op11_spelling": OP11, "op12_substring_dedup": OP12}

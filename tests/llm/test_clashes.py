@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, staging, toxicity, warc
+from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, staging, substring_dedup, toxicity, warc
 
 DIR = "/root/testdata/sf0.001"
 KEEPING = {
@@ -16,6 +16,7 @@ KEEPING = {
     "dedup_lines": (line_dedup, lambda docs, t: line_dedup.dedup_lines(docs, min_docs=2), "documents"),
     "drop_near_duplicates": (near_dedup, lambda docs, t: near_dedup.drop_near_duplicates(docs), "documents"),
     "drop_contaminated": (decontaminate, lambda docs, t: decontaminate.drop_contaminated(docs, t("benchmark")), "documents"),
+    "drop_repeats": (substring_dedup, lambda docs, t: substring_dedup.drop_repeats(docs), "documents"),
     "mix_sources": (mixing, lambda docs, t: mixing.mix_sources(docs), "documents"),
 }
 TELLING = {
@@ -28,6 +29,7 @@ TELLING = {
     "toxicity": (toxicity, lambda docs, t: toxicity.digest(docs, t("labels")), "documents"),
     "decontaminate": (decontaminate, lambda docs, t: decontaminate.digest(docs, t("benchmark")), "documents"),
     "spelling": (spelling, lambda docs, t: spelling.digest(docs), "documents"),
+    "substring_dedup": (substring_dedup, lambda docs, t: substring_dedup.digest(docs), "documents"),
     "html": (html_extract, lambda pages, t: html_extract.extract(pages), "pages"),
 }
 
