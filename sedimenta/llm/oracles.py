@@ -170,7 +170,28 @@ SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coales
 FROM d LEFT JOIN lost l ON l.r = d.r LEFT JOIN kept k ON k.r = d.r
 """
 
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS d, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+parts AS (
+  SELECT c.conv_id, 0 AS own, t.d, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.d <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.d, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.d > c.h),
+seqs AS (
+  SELECT c.conv_id, coalesce(s.turns, []) AS turns FROM c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY own, d) AS turns FROM parts GROUP BY conv_id) s ON s.conv_id = c.conv_id),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS p, d = len(turns) AS last FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS parent, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+told AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n - 1) * length(p[d].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN children c ON c.parent = n.p),
+subtree AS (SELECT p[1:j] AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM told) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM told v JOIN subtree s ON s.top = v.p LEFT JOIN nodes u ON v.d > 0 AND u.p = v.p[1:v.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_near_dedup": OP1, "op3_chat": OP3, "op5_line_dedup": OP5, "op6_rules": OP6, "op7_warc": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10,
-        "op11_spelling": OP11, "op12_substring_dedup": OP12}
+        "op11_spelling": OP11, "op12_substring_dedup": OP12, "op13_prefix_trie": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, substring_dedup, toxicity, warc
+from . import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, prefix_trie, quality, rules, spelling, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,4 +29,5 @@ def queries() -> dict[str, Query]:
         "op10_decontaminate": _over(decontaminate.digest, "documents", "benchmark"),
         "op11_spelling": _over(spelling.digest, "documents"),
         "op12_substring_dedup": _over(substring_dedup.digest, "documents"),
+        "op13_prefix_trie": _over(prefix_trie.digest, "conversations"),
     }

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, rules, spelling, staging, substring_dedup, toxicity, warc
+from sedimenta.llm import chat, decontaminate, html_extract, line_dedup, mixing, near_dedup, prefix_trie, quality, rules, spelling, staging, substring_dedup, toxicity, warc
 
 DIR = "/root/testdata/sf0.001"
 KEEPING = {
@@ -30,6 +30,7 @@ TELLING = {
     "decontaminate": (decontaminate, lambda docs, t: decontaminate.digest(docs, t("benchmark")), "documents"),
     "spelling": (spelling, lambda docs, t: spelling.digest(docs), "documents"),
     "substring_dedup": (substring_dedup, lambda docs, t: substring_dedup.digest(docs), "documents"),
+    "prefix_trie": (prefix_trie, lambda rows, t: prefix_trie.digest(rows), "conversations"),
     "html": (html_extract, lambda pages, t: html_extract.extract(pages), "pages"),
 }
 
