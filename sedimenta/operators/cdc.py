@@ -2,7 +2,8 @@
 
 Merges return the target's next state as a frame from one join on the key;
 publishing it is one commit. A run's ``run_ts`` both closes and opens versions,
-so the intervals of a key never overlap.
+so the intervals of a key never overlap. Hashes are compared null-safely
+everywhere: two null hashes are unchanged, a null and another one are changed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions.names import free_prefix
 from .quality import duplicate_keys
 
 
@@ -24,7 +26,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     a hot key costs no more than a cold one.
     """
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("__row", F.row_number().over(w)).where(F.col("__row") == 1).drop("__row")
+    row = f"{free_prefix(df.columns)}row"
+    return df.withColumn(row, F.row_number().over(w)).where(F.col(row) == 1).drop(row)
 
 
 def _sides(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, StructType]:
@@ -45,50 +48,66 @@ def _unique(source: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"the merge source repeats a key of {list(keys)}")
 
 
-def classify_changes(history: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash") -> DataFrame:
-    """``source`` with ``change``: new, changed or unchanged against the current versions."""
-    current = history.where("is_current").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(hash_col).alias("__hash"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    change = F.when(F.col(f"__{keys[0]}").isNull(), "new").when(F.col(hash_col) != F.col("__hash"), "changed").otherwise("unchanged")
-    return source.join(current, on, "left").withColumn("change", change).drop(*[f"__{k}" for k in keys], "__hash")
+def classify_changes(current: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash") -> DataFrame:
+    """``source`` with ``change``: new, changed or unchanged against the current versions.
+
+    ``current`` may be a whole history; rows that are not ``is_current`` are left out.
+    """
+    own = free_prefix([*current.columns, *source.columns])
+    held = current.where("is_current").select(*[F.col(k).alias(f"{own}{i}") for i, k in enumerate(keys)], F.col(hash_col).alias(f"{own}hash"), F.lit(True).alias(f"{own}held"))
+    on = [F.col(k) == F.col(f"{own}{i}") for i, k in enumerate(keys)]
+    change = F.when(F.col(f"{own}held").isNull(), "new").when(~F.col(hash_col).eqNullSafe(F.col(f"{own}hash")), "changed").otherwise("unchanged")
+    return source.join(held, on, "left").withColumn("change", change).drop(*[c for c in held.columns])
 
 
-def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash", keep: Sequence[str] = ("silver_created_at",)) -> DataFrame:
+def scd1_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash", keep: Sequence[str] = ("silver_created_at",), checked: bool = False) -> DataFrame:
     """The target after an upsert.
 
     Rows whose hash is unchanged, or that the source lacks, stay as they are;
     changed ones take the source's columns but for ``keep``; new ones are
     added. Columns of either side alone are null in the other's rows. A source
-    that repeats a key raises before anything is computed.
+    that repeats a key raises before anything is computed, unless it has been
+    ``checked`` before, as ``Table.merge`` does.
     """
-    _unique(source, keys)
+    if not checked:
+        _unique(source, keys)
     both, schema = _sides(target, source, keys)
-    stays = F.col("s").isNull() | F.coalesce(F.col("t")[hash_col] == F.col("s")[hash_col], F.lit(False))
+    t, s = F.col("t"), F.col("s")
+    stays = s.isNull() | (t.isNotNull() & t[hash_col].eqNullSafe(s[hash_col]))
     cells = []
     for f in schema:
-        t, s = F.col("t")[f.name], F.col("s")[f.name]
-        new = F.when(F.col("t").isNotNull(), t).otherwise(s) if f.name in keep else s
-        cells.append(F.when(stays, t).otherwise(new).alias(f.name))
+        new = F.when(t.isNotNull(), t[f.name]).otherwise(s[f.name]) if f.name in keep else s[f.name]
+        cells.append(F.when(stays, t[f.name]).otherwise(new).alias(f.name))
     return both.select(*cells)
 
 
-def scd2_merge(history: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash", run_ts: Column | None = None, touch: Sequence[str] = ("silver_updated_at",)) -> DataFrame:
-    """The history after a wave of ``source`` (without ``valid_from``, ``valid_to``, ``is_current``).
+def scd2_step(current: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str = "_record_hash", run_ts: Column | None = None, touch: Sequence[str] = ("silver_updated_at",), checked: bool = False) -> DataFrame:
+    """What follows the ``current`` rows of a history after a wave of ``source``: closed rows and current ones.
 
-    The current version of a changed key is closed at ``run_ts`` and followed
-    by one that is valid from then on; ``touch`` columns of a closed row are
-    set to ``run_ts`` too. Unchanged keys, and keys the source lacks, stay
-    current. Closed versions pass through without a shuffle.
+    A changed key's row is closed at ``run_ts`` and followed by one that is
+    valid from then on; ``touch`` columns of a closed row are set to ``run_ts``
+    too. Unchanged keys, and keys the source lacks, stay current. ``source``
+    has no ``valid_from``, ``valid_to`` and ``is_current``; see ``scd1_merge``
+    for ``checked``. Closed versions of the history take no part.
     """
-    _unique(source, keys)
+    if not checked:
+        _unique(source, keys)
     ts = F.current_timestamp() if run_ts is None else run_ts
-    types = {f.name: f.dataType for f in history.schema}
+    types = {f.name: f.dataType for f in current.schema}
     opened = source.select("*", ts.cast(types["valid_from"]).alias("valid_from"), F.lit(None).cast(types["valid_to"]).alias("valid_to"), F.lit(True).alias("is_current"))
-    both, schema = _sides(history.where("is_current"), opened, keys)
+    both, schema = _sides(current, opened, keys)
     t, s = F.col("t"), F.col("s")
-    changed = s.isNotNull() & t.isNotNull() & (t[hash_col] != s[hash_col])
+    changed = s.isNotNull() & t.isNotNull() & ~t[hash_col].eqNullSafe(s[hash_col])
     stamp = {"valid_to": ts, "is_current": F.lit(False)} | {c: ts for c in touch if c in types}
     closed = F.struct(*[(stamp[f.name].cast(f.dataType) if f.name in stamp else t[f.name]).alias(f.name) for f in schema])
     rows = F.filter(F.array(F.when(changed, closed).otherwise(t), F.when(changed | t.isNull(), s)), lambda r: r.isNotNull())
-    merged = both.select(F.explode(rows).alias("r")).select("r.*")
+    return both.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def scd2_merge(history: DataFrame, source: DataFrame, keys: Sequence[str], **how) -> DataFrame:
+    """The whole history after a wave: ``scd2_step`` of its current rows, beside the closed ones, which it does not shuffle.
+
+    A ``Table`` with ``current="is_current"`` merges ``scd2_step`` instead, and leaves closed rows where they are.
+    """
+    merged = scd2_step(history.where("is_current"), source, keys, **how)
     return history.where("NOT is_current").unionByName(merged, allowMissingColumns=True)

@@ -161,19 +161,19 @@ def _start_of(year: int):
 
 
 def _history(spark, waves) -> Table | None:
-    table = Table(spark, storage.scratch(spark, "scd2"), "history", ("o_custkey",), 4)
+    table = Table(spark, storage.scratch(spark, "scd2"), "history", ("o_custkey",), 4, current="is_current")
     for y, wave in waves:
         if not table.exists():
             table.create_like(wave.select("*", _start_of(y).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit(True).alias("is_current")))
-        table.merge(wave, lambda target, source, y=y: cdc.scd2_merge(target, source, ["o_custkey"], run_ts=_start_of(y)))
+        table.merge(wave, lambda target, source, y=y: cdc.scd2_step(target, source, ["o_custkey"], run_ts=_start_of(y), checked=True), stable=True)
     return table
 
 
 def classify_changes(spark, d):
     waves = _waves(spark, d)
     _, last = waves[-1]
-    history = _history(spark, waves[:-1]).read()
-    return cdc.classify_changes(history, last, ["o_custkey"]).select("o_custkey", "st", "change")
+    current = _history(spark, waves[:-1]).current_rows()
+    return cdc.classify_changes(current, last, ["o_custkey"]).select("o_custkey", "st", "change")
 
 
 def scd1_state(spark, d):
@@ -181,7 +181,7 @@ def scd1_state(spark, d):
     for y, wave in _waves(spark, d):
         wave = wave.withColumn("created", F.lit(y))
         table.create_like(wave)
-        table.merge(wave, lambda target, source: cdc.scd1_merge(target, source, ["o_custkey"], keep=("created",)))
+        table.merge(wave, lambda target, source: cdc.scd1_merge(target, source, ["o_custkey"], keep=("created",), checked=True), stable=True)
     return table.read().select("o_custkey", "st", "created")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,6 +52,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(temp, p, over)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whose name must not exist yet, in one step; False if it does, and then nothing has changed."""
+    fs, p = _fs(spark, path)
+    hadoop, p = spark._jvm.org.apache.hadoop.fs, fs.makeQualified(p)
+    fs.mkdirs(p.getParent())
+    temp = hadoop.Path(p.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    plain = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(temp, p, plain)
+    except Py4JJavaError as e:
+        fs.delete(temp, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -69,6 +90,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Removes the folder that ``staged`` has written for ``df``; its rows must not be read any more."""
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, local only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
