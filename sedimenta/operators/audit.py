@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
 from ..functions.scalars import base_name
 
 #: A dimension of at most this many rows and bytes (as JSON) is broadcast; a larger one is joined by shuffle.
@@ -42,3 +43,17 @@ def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def top_rated(df: DataFrame, rating: str, *ties: str) -> DataFrame:
     return df.where(F.col(rating).isNotNull()).orderBy(F.desc(rating), *ties)
+
+
+def with_position(df: DataFrame, name: str) -> DataFrame:
+    """``df``, which is sorted, with each row's place from 1 in ``name``; rows are counted by partition, not gathered."""
+    own = free_prefix([*df.columns, name])
+    marked = df.withColumns({f"{own}part": F.spark_partition_id(), f"{own}at": F.monotonically_increasing_id()})
+    part, at = F.col(f"{own}part"), F.col(f"{own}at").bitwiseAND(F.lit((1 << 33) - 1))
+    held = {r[0]: r[1] for r in marked.groupBy(part).agg(F.max(at) + 1).collect()}  # a row for each partition
+    before, total = [], 0
+    for p in range(max(held, default=-1) + 1):
+        before.append(total)
+        total += held.get(p, 0)
+    offset = F.get(F.array(*[F.lit(x).cast("long") for x in before or [0]]), part)
+    return marked.withColumn(name, offset + at + 1).drop(f"{own}part", f"{own}at")

@@ -82,6 +82,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY _batch_id DESC) AS r
   CASE WHEN NOT ok3 THEN 'release_year is missing or outside accepted range' END) AS _quality_errors FROM j WHERE NOT (ok1 AND ok2 AND ok3)""",
     "title_quality": f"""WITH {TITLES} SELECT 0::BIGINT AS invalid_show_id, count(*) FILTER (NOT ok1) AS invalid_title, count(*) FILTER (NOT ok2) AS invalid_content_type, count(*) FILTER (NOT ok3) AS invalid_release_year, 0::BIGINT AS invalid_duration FROM j""",
     "compact_ranges": "SELECT 3::BIGINT AS num_files, 0::BIGINT AS overlaps",
+    "history_parts": f"""WITH {WAVES}, h AS (SELECT st, lead(y) OVER (PARTITION BY o_custkey ORDER BY y) IS NULL AS current FROM points)
+SELECT CASE WHEN current THEN 'current' ELSE 'closed' END AS part, st, count(*) AS n FROM h GROUP BY ALL""",
+    "merge_files": "SELECT count(*) FILTER (c_custkey % 4 <> 2) AS rows_left, count(*) FILTER (c_custkey % 4 = 2) AS rows_rewritten, count(*) FILTER (c_custkey % 8 = 2) AS renamed FROM customer",
+    "append_once": "SELECT c_custkey, c_name, c_nationkey, NULL AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, 'supplier' FROM supplier",
+    "write_counters": f"""WITH {TITLES} SELECT count(*) AS rows, 0::BIGINT AS invalid_show_id, count(*) FILTER (NOT ok1) AS invalid_title, count(*) FILTER (NOT ok2) AS invalid_content_type, count(*) FILTER (NOT ok3) AS invalid_release_year, 0::BIGINT AS invalid_duration FROM j""",
+    "bronze_strings": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part",
+    "reset_tables": "SELECT 'gone' AS name, false AS there, 0::BIGINT AS rows UNION ALL SELECT 'kept', true, count(*) FROM nation",
+    "ordered_keys": "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders",
+    "counts_in_order": "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY p_type",
     "compact_rows": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "table_detail": "SELECT 3::BIGINT AS num_files, (SELECT count(*) FROM orders) AS rows, true AS has_bytes",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import audit, bronze, cdc, contract, layout, quality
 from ..sources import files, storage
-from ..sources.tables import Table
+from ..sources.tables import Table, drop_all
 from ..streaming import ingest, messages
 from . import silver
 
@@ -466,11 +466,72 @@ def compact_ranges(spark, d):
     return per.agg(held.alias("r")).select(F.size("r").cast("long").alias("num_files"), F.expr("size(filter(sequence(1, size(r) - 1), i -> r[i].low <= r[i - 1].high))").cast("long").alias("overlaps"))
 
 
+def history_parts(spark, d):
+    """The two parts of a history, by the folders they are read from."""
+    table = _history(spark, _waves(spark, d))
+    part = lambda df, name: df.groupBy("st").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "st", "n")
+    return part(table.current_rows(), "current").unionByName(part(table.files(table.commit()["folders"]), "closed"))
+
+
+def merge_files(spark, d):
+    """Rows of the pieces that a merge reads and leaves, where each quarter of the customers came by a merge of its own."""
+    c = t(spark, d, "customer").select("c_custkey", "c_name", F.lit("a").alias("_record_hash"))
+    table = Table(spark, storage.scratch(spark, "pieces"), "customers", ("c_custkey",), 4, index_bits=24).create_like(c)
+    step = lambda target, source: cdc.scd1_merge(target, source, ["c_custkey"], checked=True)
+    for k in range(4):
+        table.merge(c.where(F.col("c_custkey") % 4 == k), step, stable=True)
+    table.merge(c.where("c_custkey % 8 = 2").withColumns({"c_name": F.lit("renamed"), "_record_hash": F.lit("b")}), step)
+    kept, now = table.files(table.commit()["merge"]["kept"]).agg(F.count(F.lit(1)).alias("rows_left")), table.read()
+    total = now.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c_name") == "renamed").alias("renamed"))
+    return total.crossJoin(kept).select("rows_left", (F.col("rows") - F.col("rows_left")).alias("rows_rewritten"), "renamed")  # one row each
+
+
+def append_once(spark, d):
+    """Batches with a new column, each tried twice by its writer."""
+    table, s = _region_table(spark, d)
+    rows = s.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.lit("supplier").alias("kind"))
+    for batch in range(2):
+        for _ in range(2):
+            table.append(rows.where(F.col("c_custkey") % 2 == batch), evolve=True, writer=("loader", batch))
+    return table.read()
+
+
+def write_counters(spark, d):
+    """The counters of ``title_quality``, taken by the write itself."""
+    report = silver.title_report(F.lit("2024-02-01").cast("date"))
+    counters = {name: F.count_if(bad) for name, bad in report.items()}
+    table = Table(spark, storage.scratch(spark, "counted"), "titles").overwrite(silver.clean_titles(_titles(spark, d)), counters=counters)
+    counts = table.counts()
+    return spark.createDataFrame([tuple(counts[k] for k in ("rows", *report))], ", ".join(f"{k} long" for k in ("rows", *report)))
+
+
+def bronze_strings(spark, d):
+    return bronze.bronze_columns(t(spark, d, "part"), ["p_partkey", "p_name", "p_size"])
+
+
+def reset_tables(spark, d):
+    """Tables dropped if the flag is set: one is, the other is not."""
+    root = storage.scratch(spark, "reset")
+    gone, kept = Table(spark, root, "gone").overwrite(t(spark, d, "supplier")), Table(spark, root, "kept").overwrite(t(spark, d, "nation"))
+    drop_all([gone], True)
+    drop_all([kept], False)
+    return spark.createDataFrame([(x.name, x.exists(), x.row_count() if x.exists() else 0) for x in (gone, kept)], "name string, there boolean, rows long")
+
+
+def ordered_keys(spark, d):
+    return audit.with_position(t(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderkey"), "place")
+
+
+def counts_in_order(spark, d):
+    return audit.with_position(audit.count_by(t(spark, d, "part"), "p_type"), "place").withColumnRenamed("count", "n")
+
+
 NAMES = (
     "select_filter count_by_type enrich_left flatten_nested top_k clean_strings parse_dates parse_duration base_name_audit row_hash ensure_columns change_batches "
     "gate_valid gate_quarantine latest_per_key prepare_updates classify_changes scd1_state scd2_history duplicate_keys quality_report contract_reject contract_evolve "
     "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages stream_schema_merge keep_edits compact_rows table_detail "
-    "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges"
+    "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges "
+    "history_parts merge_files append_once write_counters bronze_strings reset_tables ordered_keys counts_in_order"
 ).split()
 
 
