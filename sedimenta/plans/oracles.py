@@ -82,6 +82,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY _batch_id DESC) AS r
   CASE WHEN NOT ok3 THEN 'release_year is missing or outside accepted range' END) AS _quality_errors FROM j WHERE NOT (ok1 AND ok2 AND ok3)""",
     "title_quality": f"""WITH {TITLES} SELECT 0::BIGINT AS invalid_show_id, count(*) FILTER (NOT ok1) AS invalid_title, count(*) FILTER (NOT ok2) AS invalid_content_type, count(*) FILTER (NOT ok3) AS invalid_release_year, 0::BIGINT AS invalid_duration FROM j""",
     "compact_ranges": "SELECT 3::BIGINT AS num_files, 0::BIGINT AS overlaps",
+    "ingest_malformed": r"""SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 <> 0 THEN event_type END AS event_type,
+  CASE WHEN event_id % 7 = 0 THEN '{"_corrupt_record":"' || event_id || ',' || user_id || ',' || event_type || ',lost"}'
+    WHEN event_id % 11 = 0 THEN '{"user_id":"' || user_id || ',' || event_type || '","_corrupt_record":"' || event_id || ',\"' || user_id || ',' || event_type || '"}' END AS _rescued_data FROM events""",
+    "ingest_poison": """WITH good AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error')
+SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, NULL AS reason FROM good
+UNION ALL SELECT NULL, NULL, NULL, unnest(['the header repeats event_id', 'the header repeats user_id', 'reserved names: _source_file', 'a column has no name'])""",
+    "progress_log": """SELECT 1 AS run, 3::BIGINT AS batches, 6::BIGINT AS files, count(*) AS rows, true AS timed FROM events
+UNION ALL SELECT 2, 1, 1, count(*), true FROM events WHERE event_type = 'error'""",
     "history_parts": f"""WITH {WAVES}, h AS (SELECT st, lead(y) OVER (PARTITION BY o_custkey ORDER BY y) IS NULL AS current FROM points)
 SELECT CASE WHEN current THEN 'current' ELSE 'closed' END AS part, st, count(*) AS n FROM h GROUP BY ALL""",
     "merge_files": "SELECT count(*) FILTER (c_custkey % 4 <> 2) AS rows_left, count(*) FILTER (c_custkey % 4 = 2) AS rows_rewritten, count(*) FILTER (c_custkey % 8 = 2) AS renamed FROM customer",

@@ -466,6 +466,53 @@ def compact_ranges(spark, d):
     return per.agg(held.alias("r")).select(F.size("r").cast("long").alias("num_files"), F.expr("size(filter(sequence(1, size(r) - 1), i -> r[i].low <= r[i - 1].high))").cast("long").alias("overlaps"))
 
 
+def _drop_lines(lines: DataFrame, header: str, folder: str) -> None:
+    """Appends files of raw lines below a header, as a careless producer would write them."""
+    text = lines.toDF(header).write.mode("append").options(header=True, sep="\x01", quote="\x00", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    text.csv(folder)
+
+
+def ingest_malformed(spark, d):
+    """Rows with a cell too many, and rows with a quote that is never closed."""
+    folder, e = storage.scratch(spark, "landing"), t(spark, d, "events").select(*[F.col(c).cast("string").alias(c) for c in EVENT_COLUMNS])
+    k = F.col("event_id").cast("long")
+    line = F.when(k % 7 == 0, F.concat_ws(",", *EVENT_COLUMNS, F.lit("lost"))).when(k % 11 == 0, F.concat("event_id", F.lit(',"'), "user_id", F.lit(","), "event_type")).otherwise(F.concat_ws(",", *EVENT_COLUMNS))
+    _drop_lines(e.select(line).repartition(3), ",".join(EVENT_COLUMNS), folder)
+    p, schema = ingest.Pipeline(storage.scratch(spark, "ingest"), "malformed"), _ingest_schema()
+    ingest.ingest_files(spark, folder, p, schema=schema, rescued=True, multiLine=False)
+    return ingest.read_ingested(spark, p, schema, rescued=True).select(*EVENT_COLUMNS, "_rescued_data")
+
+
+def ingest_poison(spark, d):
+    """Good files, files that cannot be aligned, then more good files: all good rows, and why the others were set aside."""
+    folder, e = _event_files(spark, d, 3)
+    p = ingest.Pipeline(storage.scratch(spark, "ingest"), "poison")
+    line = e.where("event_type = 'error'").select(F.concat_ws(",", *EVENT_COLUMNS)).coalesce(1)
+    for header in ("event_id,user_id,event_id", "event_id,user_id,USER_ID", "event_id,_source_file,event_type", "event_id,,event_type"):
+        _drop_lines(line, header, folder)
+    ingest.ingest_files(spark, folder, p, mode="add_new_columns", multiLine=False)
+    _drop_lines(line, "EVENT_ID,user_id,Event_Type", folder)  # another case, the same columns
+    ingest.ingest_files(spark, folder, p, mode="add_new_columns", multiLine=False)
+    rows = ingest.read_ingested(spark, p).select(*EVENT_COLUMNS, F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(ingest.read_quarantine(spark, p).select("reason"), allowMissingColumns=True)
+
+
+def progress_log(spark, d):
+    """Batches and their files as the listener kept them, and rows as the writes counted them, of two runs in two sessions."""
+    folder, e = _event_files(spark, d)
+    p = ingest.Pipeline(storage.scratch(spark, "ingest"), "logged")
+    for k in range(2):
+        session = spark.newSession()
+        if k:
+            e.where("event_type = 'error'").coalesce(1).write.mode("append").option("header", True).csv(folder)
+        with ingest.logged_progress(session, p):
+            ingest.ingest_files(session, folder, p, schema=_ingest_schema(), max_files=2, multiLine=False)
+    seen = ingest.read_progress(spark, p).where("num_input_rows > 0").select("batch_id", F.col("num_input_rows").alias("files"), (F.col("duration_ms") > 0).alias("timed"))
+    both = seen.join(ingest.batch_stats(spark, p), "batch_id")
+    run = F.when(F.col("batch_id") < 3, 1).otherwise(2).alias("run")
+    return both.groupBy(run).agg(F.count(F.lit(1)).alias("batches"), F.sum("files").alias("files"), F.sum("num_input_rows").alias("rows"), F.bool_and("timed").alias("timed"))
+
+
 def history_parts(spark, d):
     """The two parts of a history, by the folders they are read from."""
     table = _history(spark, _waves(spark, d))
@@ -531,7 +578,7 @@ NAMES = (
     "gate_valid gate_quarantine latest_per_key prepare_updates classify_changes scd1_state scd2_history duplicate_keys quality_report contract_reject contract_evolve "
     "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages stream_schema_merge keep_edits compact_rows table_detail "
     "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges "
-    "history_parts merge_files append_once write_counters bronze_strings reset_tables ordered_keys counts_in_order"
+    "ingest_malformed ingest_poison progress_log history_parts merge_files append_once write_counters bronze_strings reset_tables ordered_keys counts_in_order"
 ).split()
 
 

@@ -42,13 +42,15 @@ def keep_edits(df: DataFrame, json_col: str = "event_json") -> DataFrame:
     Malformed JSON, values other than objects, and a ``meta`` that is not an
     object are dropped; a missing ``meta`` passes.
     """
-    event = F.try_parse_json(F.col(json_col))
-    kind = F.try_variant_get(event, "$.type", "string")
-    is_object = F.schema_of_variant(event).startswith("OBJECT")
-    meta = F.try_variant_get(event, "$.meta", "variant")
-    meta_fits = meta.isNull() | F.schema_of_variant(meta).startswith("OBJECT")
-    domain = F.try_variant_get(event, "$.meta.domain", "string")
-    return df.where(F.coalesce(is_object & meta_fits & (kind == "edit") & ~F.coalesce(domain == "canary", F.lit(False)), F.lit(False)))
+
+    def is_edit(event: Column) -> Column:
+        meta = F.try_variant_get(event, "$.meta", "variant")
+        meta_fits = meta.isNull() | F.schema_of_variant(meta).startswith("OBJECT")
+        outside = ~F.coalesce(F.try_variant_get(event, "$.meta.domain", "string") == "canary", F.lit(False))
+        return F.schema_of_variant(event).startswith("OBJECT") & meta_fits & (F.try_variant_get(event, "$.type", "string") == "edit") & outside
+
+    parsed = F.array(F.try_parse_json(F.col(json_col)))  # as the variable of a lambda it is parsed once
+    return df.where(F.coalesce(F.exists(parsed, is_edit), F.lit(False)))
 
 
 def table_schema(spark: SparkSession, table: str) -> StructType | None:
