@@ -99,6 +99,10 @@ SELECT CASE WHEN current THEN 'current' ELSE 'closed' END AS part, st, count(*)
     "reset_tables": "SELECT 'gone' AS name, false AS there, 0::BIGINT AS rows UNION ALL SELECT 'kept', true, count(*) FROM nation",
     "ordered_keys": "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders",
     "counts_in_order": "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY p_type",
+    "z_ordered_rows": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders",
+    "z_order_files": "SELECT 64::BIGINT AS files, true AS sort_reads_all, true AS z_order_prunes_second, true AS z_order_prunes_first",
+    "packed_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "packed_files": "SELECT 12::BIGINT AS files_rewritten, 1::BIGINT AS files_written, 1::BIGINT AS files_kept, count(*) FILTER (o_orderkey % 4 <> 0) AS rows_kept, count(*) FILTER (o_orderkey % 4 = 0) AS rows_rewritten FROM orders",
     "compact_rows": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "table_detail": "SELECT 3::BIGINT AS num_files, (SELECT count(*) FROM orders) AS rows, true AS has_bytes",
 }

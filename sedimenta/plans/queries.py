@@ -573,12 +573,58 @@ def counts_in_order(spark, d):
     return audit.with_position(audit.count_by(t(spark, d, "part"), "p_type"), "place").withColumnRenamed("count", "n")
 
 
+def z_ordered_rows(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return Table(spark, storage.scratch(spark, "layout"), "orders").overwrite(o, arrange=lambda df: layout.cluster(df, ["o_custkey", "o_orderdate"], 16)).read()
+
+
+def z_order_files(spark, d):
+    """Whether a Z-order needs fewer of 16 files than a plain sort for a range of the second column, and few for one of either."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    root, both = storage.scratch(spark, "layout"), ["o_custkey", "o_orderdate"]
+    low, high = o.agg(F.percentile_approx("o_custkey", 0.4), F.percentile_approx("o_custkey", 0.5)).first()
+    cuts = {"o_custkey": (F.lit(low), F.lit(high)), "o_orderdate": (F.lit("1996-01-01").cast(o.schema["o_orderdate"].dataType), F.lit("1996-06-30").cast(o.schema["o_orderdate"].dataType))}
+    out = None
+    for way, arrange in (("sort", lambda df: layout.compact(df, both, 16)), ("z_order", lambda df: layout.cluster(df, both, 16))):
+        df = Table(spark, root, way).overwrite(o, arrange=arrange).read()
+        for c, (a, b) in cuts.items():
+            one = layout.files_for(df, (F.col(f"{c}_low") <= b) & (F.col(f"{c}_high") >= a), both).select(F.lit(way).alias("way"), F.lit(c).alias("by"), "files", "needed")
+            out = one if out is None else out.unionByName(one)
+    needed = lambda way, c: F.max(F.when((F.col("way") == way) & (F.col("by") == c), F.col("needed")))
+    return out.agg(
+        F.sum("files").alias("files"), (needed("sort", "o_orderdate") == 16).alias("sort_reads_all"), (needed("z_order", "o_orderdate") <= 8).alias("z_order_prunes_second"), (needed("z_order", "o_custkey") <= 8).alias("z_order_prunes_first")
+    )
+
+
+def _small_files(spark, d) -> tuple[Table, dict[str, int]]:
+    """Orders in one large file, and then by a dozen small appends, the small ones packed."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    table = Table(spark, storage.scratch(spark, "packed"), "orders").overwrite(o.where("o_orderkey % 4 <> 0").coalesce(1))
+    large = max(storage.file_sizes(spark, f"{table.path}/{table.commit()['folders'][0]}").values())
+    for k in range(3):
+        table.append(o.where((F.col("o_orderkey") % 4 == 0) & (F.col("o_custkey") % 3 == k)).repartition(4))
+    return table, layout.compact_small(table, large)
+
+
+def packed_rows(spark, d):
+    return _small_files(spark, d)[0].read()
+
+
+def packed_files(spark, d):
+    """Files and rows rewritten and kept."""
+    table, told = _small_files(spark, d)
+    rows = layout.table_detail(table.read()).agg(F.max("rows").alias("rows_kept"), F.sum("rows").alias("rows"))
+    counted = rows.select("rows_kept", (F.col("rows") - F.col("rows_kept")).alias("rows_rewritten"))
+    return counted.select(*[F.lit(told[k]).cast("long").alias(f"files_{k}") for k in ("rewritten", "written", "kept")], "rows_kept", "rows_rewritten")
+
+
 NAMES = (
     "select_filter count_by_type enrich_left flatten_nested top_k clean_strings parse_dates parse_duration base_name_audit row_hash ensure_columns change_batches "
     "gate_valid gate_quarantine latest_per_key prepare_updates classify_changes scd1_state scd2_history duplicate_keys quality_report contract_reject contract_evolve "
     "widen_rename_drop ingest_stream ingest_evolve ingest_rescue trigger_batches unsafe_reload safe_reload decode_messages stream_schema_merge keep_edits compact_rows table_detail "
     "append_rows contract_violations csv_inferred dropped_csv lineage audit_by_name row_counts sql_limit ingest_rescue_types rescued_rows publish_silver publish_quarantine title_quality compact_ranges "
-    "ingest_malformed ingest_poison progress_log history_parts merge_files append_once write_counters bronze_strings reset_tables ordered_keys counts_in_order"
+    "ingest_malformed ingest_poison progress_log history_parts merge_files append_once write_counters bronze_strings reset_tables ordered_keys counts_in_order "
+    "z_ordered_rows z_order_files packed_rows packed_files"
 ).split()
 
 

@@ -25,6 +25,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of the data files in a folder, by name; of a file, its own under the empty name."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return {}
+    whole = fs.getFileStatus(p)
+    if whole.isFile():
+        return {"": whole.getLen()}
+    return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"}
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -161,3 +162,43 @@ def test_compact(spark):
     layout.compact(df.repartition(9), ["k", "id"], 3).write.parquet(path)
     back = spark.read.parquet(path)
     assert back.count() == 1000 and layout.table_summary(back).first()["num_files"] == 3
+
+
+def test_quantile_ranks_and_z_order(spark):
+    values = [None, -5, 0, 3, 3, 7, 8, 9, 100]
+    df = spark.createDataFrame([(v, str(v), k) for k, v in enumerate(values)], "a int, b string, c int")
+    cuts = [0, 3, 8]
+    ranked = df.select("a", layout.quantile_rank(F.col("a"), cuts, bits=2).alias("r")).collect()
+    assert all(r["r"] == (bisect.bisect_right(cuts, r["a"]) if r["a"] is not None else 0) for r in ranked)
+    assert spark.range(1).select(layout.z_value([F.lit(0b101), F.lit(0b011)], bits=3).alias("z")).first()["z"] == 0b100111
+    big = spark.range(4000).select((F.col("id") % 61).alias("a"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 1000).cast("string")).alias("b"), F.lit("mine").alias("own_z"), "id")
+    path = storage.scratch(spark, "z")
+    layout.cluster(big, ["a", "b"], 16).write.parquet(path)
+    back = spark.read.parquet(path)
+    assert rows(back) == rows(big)
+    assert layout.files_for(back, (F.col("a_low") <= 5) & (F.col("a_high") >= 5), ["a"]).first()["needed"] <= 8
+    assert layout.files_for(back, (F.col("b_low") <= "500") & (F.col("b_high") >= "500"), ["b"]).first()["needed"] <= 8
+    assert layout.cluster(big.limit(0), ["a"], 3).count() == 0
+    with pytest.raises(ValueError):
+        layout.cluster(big, [], 3)
+
+
+def test_small_files_are_packed_and_others_stay(spark):
+    table = Table(spark, storage.scratch(spark, "t"), "p").overwrite(spark.range(0, 50_000, 1, 1))
+    large = storage.file_sizes(spark, f"{table.path}/{table.commit()['folders'][0]}")
+    for k in range(4):
+        table.append(spark.range(50_000 + k, 50_010 + k, 1, 2))
+    before = rows(table.read())
+    size = max(large.values())
+    assert layout.compact_small(table, size)["rewritten"] == 8
+    assert rows(table.read()) == before
+    assert next(iter(large)) in {x.rsplit("/", 1)[1] for x in table.read().inputFiles()}  # the large file stays, in its place
+    assert layout.compact_small(table, size) == {"rewritten": 0, "bytes": 0, "written": 0, "kept": 2}  # one small file alone is left
+    table.append(spark.range(5).coalesce(1))
+    assert layout.compact_small(table, size)["rewritten"] == 2 and table.row_count() == len(before) + 5
+
+
+def test_places_tell_the_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit(1).alias("own_at")).repartition(5)
+    assert rows(audit.with_position(df.orderBy("k"), "place").select("place", "k")) == sorted(enumerate(sorted(r["k"] for r in df.collect()), 1), key=str)
+    assert audit.with_position(df.limit(0).orderBy("k"), "place").count() == 0
