@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
+#: The long date's pattern, the number that starts a duration, and the unit behind its first number.
+LONG_DATE, LEADING_NUMBER, UNIT = "MMMM d, yyyy", r"^(\d+)", r"\d+\s+(.*)$"
+
 
 def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -21,7 +24,7 @@ def clean_string(c: ColumnLike) -> Column:
 
 def parse_long_date(c: ColumnLike) -> Column:
     """``July 27, 2026`` to a date; null for anything else, under ANSI mode too."""
-    return F.try_to_date(F.trim(_col(c)), "MMMM d, yyyy")
+    return F.try_to_date(F.trim(_col(c)), LONG_DATE)
 
 
 def try_int(c: ColumnLike) -> Column:
@@ -35,8 +38,8 @@ def parse_duration(c: ColumnLike) -> tuple[Column, Column, Column]:
     first digits and blanks anywhere, ``''`` if nothing does, null for null.
     """
     text = _col(c)
-    value = F.regexp_extract(text, r"^(\d+)", 1).try_cast("int")
-    return clean_string(text), value, F.regexp_extract(text, r"\d+\s+(.*)$", 1)
+    value = F.regexp_extract(text, LEADING_NUMBER, 1).try_cast("int")
+    return clean_string(text), value, F.regexp_extract(text, UNIT, 1)
 
 
 def base_name(path: ColumnLike) -> Column:

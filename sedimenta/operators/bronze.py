@@ -33,18 +33,8 @@ def slice_keys(df: DataFrame, key: str, values: Sequence) -> DataFrame:
     return df.where(F.col(key).isin(*values))
 
 
-def make_change_batches(first: DataFrame, key: str, keys: Sequence[str], hashed: Sequence[str], change: dict[str, Column], broken: dict[str, Column], added: dict[str, Column]) -> list[DataFrame]:
-    """Batches 2 to 4 after the stamped batch ``first``, for at least 151 ``keys``.
-
-    Batch 2 repeats keys 1-100, changes the first one (``change``) and
-    duplicates the second and third. Batch 3 repeats keys 101-150 with new
-    columns (``added``), hashes inherited. Batch 4 is key 151 with values that
-    fail every rule (``broken``).
-    """
-    again = lambda df, batch, n: df.withColumns({"_batch_id": F.lit(batch), "_ingestion_sequence": F.lit(n).cast("bigint")})
-    repeat = again(slice_keys(first, key, keys[:100]), "batch_002_updates_duplicates", 2)
-    changed = again(slice_keys(first, key, keys[:1]).withColumns(change), "batch_002_updates_duplicates", 3).withColumn("_raw_hash", row_hash(hashed))
-    twins = again(slice_keys(first, key, keys[1:3]), "batch_002_updates_duplicates", 2)
-    wider = again(slice_keys(first, key, keys[100:150]), "batch_003_new_column", 4).withColumns(added)
-    bad = again(slice_keys(first, key, keys[150:151]).withColumns(broken), "batch_004_bad_quality_row", 5).withColumn("_raw_hash", row_hash(hashed))
-    return [repeat.unionByName(changed).unionByName(twins), wider, bad]
+def restamp(df: DataFrame, batch: str, sequence: int, changes: dict[str, Column] | None = None, hashed: Sequence[str] | None = None) -> DataFrame:
+    """Stamped rows again, as part of another batch, with ``changes``; the raw hash is inherited unless ``hashed`` names its columns."""
+    out = df.withColumns(changes) if changes else df
+    out = out.withColumns({"_batch_id": F.lit(batch), "_ingestion_sequence": F.lit(sequence).cast("bigint")})
+    return out.withColumn("_raw_hash", row_hash(hashed)) if hashed else out

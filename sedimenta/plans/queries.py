@@ -17,6 +17,7 @@ from ..sources import files, storage
 from ..sources.tables import Table, drop_all
 from ..streaming import ingest, messages
 from . import silver
+from .change_batches import make_change_batches
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +105,8 @@ def change_batches(spark, d):
     first = c.select(F.col("c_custkey").cast("string").alias("show_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment"))
     first = bronze.stamp_batch(first, "batch_001_initial", 1, "customers", raw, F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("_ingested_at")
     language = F.when(F.col("segment") == "BUILDING", "English").otherwise("Unknown")
-    batches = bronze.make_change_batches(first, "show_id", [str(k) for k in range(1, 152)], raw, {"segment": F.lit("PG")}, {"show_id": F.lit(None).cast("string"), "title": F.lit("")}, {"content_language": language})
+    names = ("batch_002_updates_duplicates", "batch_003_new_column", "batch_004_bad_quality_row")  # fixed values: the batches' names
+    batches = make_change_batches(first, "show_id", [str(k) for k in range(1, 152)], raw, names, {"segment": F.lit("PG")}, {"show_id": F.lit(None).cast("string"), "title": F.lit("")}, {"content_language": language})
     out = first
     for b in batches:
         out = out.unionByName(b, allowMissingColumns=True)

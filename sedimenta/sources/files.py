@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import clean_string
 from . import storage
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -76,6 +75,3 @@ def drop_csv(df: DataFrame, folder: str, name: str) -> str:
     storage.move(spark, f"{temp}/{part}", f"{folder}/{name}")
     storage.delete(spark, temp)
     return f"{folder}/{name}"
-
-
-__all__ = ["CSV_OPTIONS", "add_lineage", "clean_string", "drop_csv", "flatten_shows", "read_csv", "read_first_available", "read_shows", "source_file", "split_to_files"]

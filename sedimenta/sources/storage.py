@@ -108,11 +108,19 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, local only where none is set."""
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, local only where none is set.
+
+    The application's own folder there is removed when its driver ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    own = f"{base.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+    fs, p = _fs(spark, own)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{own}/{label}-{uuid.uuid4().hex[:12]}"

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from sedimenta.functions.scalars import row_hash
 from sedimenta.operators import audit, bronze, cdc, contract, layout, quality
 from sedimenta.plans import silver
+from sedimenta.plans.change_batches import make_change_batches
 from sedimenta.sources import storage
 from sedimenta.sources.tables import Table, drop_all
 
@@ -136,7 +137,7 @@ def test_change_batches_to_silver(spark):
     first = bronze.stamp_batch(raw, "batch_001_initial", 1, "test", names, now()).withColumn("_source_file", F.lit("f"))
     language = F.when(F.col("country") == "United States", "English").otherwise("Unknown")
     bad = {"show_id": F.lit(None).cast("string"), "type": F.lit("Documentary"), "title": F.lit(""), "release_year": F.lit("not_a_year")}
-    b2, b3, b4 = bronze.make_change_batches(first, "show_id", [f"s{i}" for i in range(1, 161)], names, {"rating": F.lit("PG"), "description": F.lit("new")}, bad, {"content_language": language})
+    b2, b3, b4 = make_change_batches(first, "show_id", [f"s{i}" for i in range(1, 161)], names, ("second", "third", "fourth"), {"rating": F.lit("PG"), "description": F.lit("new")}, bad, {"content_language": language})
     assert (b2.count(), b3.count(), b4.count()) == (103, 50, 1)
     table = Table(spark, storage.scratch(spark, "b"), "bronze").overwrite(first).append(b2).append(b3, evolve=True).append(b4)
     assert table.row_count() == 160 + 154

@@ -142,7 +142,7 @@ def test_counters_come_with_the_write(spark):
 
 def test_merge_sources_leave_no_copy(spark):
     table = table_of(spark, keys=("k",), buckets=2).overwrite(keyed(spark, [1, 2], "a"))
-    base = spark.conf.get("spark.checkpoint.dir")
+    base = storage.scratch(spark, "x").rsplit("/", 1)[0]
     before = storage.children(spark, base)
     table.merge(keyed(spark, [1], "b"), upsert)
     assert [x for x in storage.children(spark, base) if x.startswith("merge-source") and x not in before] == []
