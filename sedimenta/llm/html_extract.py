@@ -41,7 +41,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("annotation audio canvas iframe noscript script select style svg template textarea title video".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul li dd dt tr td th tbody thead".split())
 SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "td", "th", "dd", "dt", "blockquote", "pre", "figcaption", "section", "article", "main", "body", "button")
+TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "td", "th", "dd", "dt", "blockquote", "pre", "figcaption", "section", "article", "main", "body", "button", "summary", "details", "caption")
 #: Ancestors that a node is asked about.
 HOLDERS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "table", "ul", "ol", "dialog", "figure", "menu", "fieldset", "address")
 
@@ -359,12 +359,30 @@ def layout(seed: int, vague: float = 0.0) -> tuple[str, set[str]]:
             texts.update(more)
             continue
         texts.add(text)
+        if r.random() < 0.12:  # parts with texts of their own beside the first
+            more = [words(r.choice([1, 2, r.randint(3, 30)])) for _ in range(r.choice([1, 3, 5]))]
+            row = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{x}</{tag}>" for x in cells) + "</tr>"
+            part, held = r.choice([
+                ("<table>" + row("th", [text, more[0]]) + "".join(row(r.choice(["td", "td", "th"]), more[i : i + 2]) for i in range(1, len(more), 2)) + "</table>", more),
+                (f"<table><caption>{text}</caption>" + row("th", more) + "</table>", more),
+                (f"<details{r.choice(['', ' open'])}><summary>{text}</summary>" + "".join(f"<p>{x}</p>" for x in more) + "</details>", more),
+                (f"<figure><img src=/i><figcaption>{text}</figcaption></figure>", []),
+                (f"<figure><img src=/i><figcaption><p>{text}</p></figcaption></figure>", []),
+                ("<dl>" + "".join(f"<dt>{a}</dt><dd>{b}</dd>" for a, b in zip([text, *more], more)) + "</dl>", more),
+                (f"<ol><li><p>{text}</p>" + "".join(f"<li><p>{x}</p>" for x in more) + "</ol>", more),
+            ])
+            article.append(part)
+            texts.update(held)
+            continue
         article.append({"p": r.choice([f"<p{own()}>{text}</p>", f"<p{own()}>{text}</p>", f"<p{own()}><b>{text}<br>", f"<p{own()}>{text}"]), "td": f"<table><tr><td>{text}</td></tr></table>"}.get(tag, f"<{tag}>{text}</{tag}>"))
     cuts = r.sample(["ad", "aside", "share", "form", "notice", "nav"], r.choice([0, 1, 1, 2, 3]))
     for kind in cuts:
         article.insert(r.randint(0, len(article)), cut(kind))
     if r.random() < 0.25:
         article.append(cut("comments"))
+    if r.random() < 0.25 and article[0].startswith("<h1"):  # the article's own header; what stands beside its title is not the article's text
+        title = article.pop(0)
+        article.insert(0, "<header>" + r.choice(["", cut("share")]) + title + r.choice(["", "", cut("share")]) + "</header>")
     start, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("content"), named("content"), ("<div>", "</div>"), ("<section>", "</section>")])
     if r.random() < 0.1:  # a page of nothing else
         page = "".join(r.choice([x, x, f"<div{nothing()}>{x}</div>"]) for x in article) if not set(CUT_NAMES) & set(cuts) else start + "".join(article) + end
@@ -378,16 +396,23 @@ def layout(seed: int, vague: float = 0.0) -> tuple[str, set[str]]:
 
 
 def weak_labels(nodes: list[Node]) -> list[int] | None:
-    """Labels of a page that marks its article with elements of HTML: in the one with most text, and in no other holder, is content."""
+    """Labels of a page that marks its article with elements of HTML: in the one with most text, and in no other holder, is content.
+
+    So is a heading in the article's own header; a byline there is not.
+    """
     mains = [x for x in nodes if x.tag in ("article", "main")]
     if not mains:
         return None
     top = max(mains, key=lambda x: (x.text, -x.row))
     cut = sum(1 << HOLDERS.index(h) for h in ("nav", "header", "footer", "aside", "form", "dialog", "menu"))
+    head = 1 << HOLDERS.index("header")
     inside = [False] * len(nodes)
+    out = []
     for x in nodes:
         inside[x.row] = x is top or bool(x.parent and inside[x.parent.row])
-    return [int(inside[x.row] and not x.mask & cut) for x in nodes]
+        title = x.tag in ("h1", "h2", "h3") and x.mask & cut == head and not top.mask & head
+        out.append(int(inside[x.row] and (title or not x.mask & cut)))
+    return out
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES, layouts: int = LAYOUTS) -> Model:
