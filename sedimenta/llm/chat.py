@@ -130,7 +130,13 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """The formatted conversations, and conversation -1, read back and digested."""
+    """The formatted conversations, and conversation -1, read back and digested.
+
+    Null roles and texts are empty, long texts are formatted whole. Turns that
+    tie, and repeated rows, are turns in the order of role and text. Rows
+    without a conversation are one conversation without an id. An empty table
+    gives conversation -1 alone; extra columns are left out.
+    """
     spark = conversations.sparkSession
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))

@@ -196,7 +196,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
     point offsets of the original text and ``items`` the sorted ids found (a
     null id reads ``null``). ``text_key`` is the text's xxhash64. Null and
     empty texts have no words, and items without words no windows. Repeated
-    rows are scanned each; extra columns are left out.
+    rows are scanned each; extra columns are left out. An empty ``docs`` gives
+    no rows, an empty benchmark finds nothing. Item ids that repeat are one.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -223,7 +224,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, bl
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of each row."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of each row; nulls, empty and repeated rows and empty tables as in ``find_contamination``."""
     found = find_contamination(docs, benchmark, spans=False)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -235,7 +236,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     """``docs`` without the documents that share a window with the benchmark; all columns stay.
 
     A row goes by its own text, whatever other rows have its id. Rows without
-    an id stay, as no decision can name them; so do null and empty texts.
+    an id stay, as no decision can name them; so do null and empty texts, and
+    all rows if the benchmark is empty.
     """
     bad = find_contamination(docs, benchmark, size, spans=False).where((F.col("n_hit") > 0) & F.col("doc_id").isNotNull())
     bad = small_side(stage(bad.select(F.col("doc_id").alias("bad"), "text_key").distinct(), "contaminated"), width=32)

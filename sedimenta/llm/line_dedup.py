@@ -32,7 +32,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts are one empty line and never drop it. Rows without an
     id take no part. Rows that repeat an id count as one document; rows that
-    repeat an id and its text share one bitmap.
+    repeat an id and its text share one bitmap. Long texts are taken whole, an
+    empty table gives no rows, other columns play no part.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), F.split(text_col, "\n").alias("lines"))
@@ -87,7 +88,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_sha256`` of each document; a null text is one empty line."""
+    """``doc_id, n_lines, n_dropped, kept_sha256`` of each row.
+
+    Null and empty texts are one empty line. Rows that repeat an id and its
+    text have equal results; rows without an id drop nothing. An empty table
+    gives an empty one, extra columns are left out.
+    """
     marked = with_runs(docs.select("doc_id", "text"), "doc_id", "text")
     kept = F.coalesce(F.array_join(kept_lines(F.col("lines"), F.col("runs")), "\n"), F.lit(""))
     dropped = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<start:int,length:int>>")), F.lit(0), lambda n, r: n + r["length"])

@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     linked with nothing. Rows with one text are linked whatever their ids;
     rows without an id are linked too, take the component's id and are never
     kept unless nothing links them. Rows that repeat an id and its text are
-    both kept or both not. Extra columns are left out.
+    both kept or both not. Long texts are taken whole; an empty table gives an
+    empty one. Extra columns are left out.
     """
     found = component_ids(docs, size, percent)
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
@@ -286,7 +287,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     A row goes by its own text: of rows that share an id, those whose text
     belongs to another component's smallest id go, and an id that is kept for
     one component is not dropped for another. Rows without an id stay, as no
-    decision can name them.
+    decision can name them; null and empty texts stay, as nothing links them.
+    An empty table stays empty.
     """
     found = component_ids(docs, size, percent)
     lost = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("lost"), "text_key").distinct()

@@ -119,7 +119,9 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     """``doc_id, held_out, score, predicted`` of every row of ``docs``, repeated ones too.
 
     Null and empty texts are scored as empty ones, long texts as a whole.
-    Without usable labels every score is 0.5. Extra columns are left out.
+    Without usable labels every score is 0.5. A null id is held out by no
+    fold's rule (null) and scored like any other; scores at the threshold count
+    as 1. An empty table gives an empty one, extra columns are left out.
     """
     score = scorer(fit(docs, labels))
     scored = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
@@ -127,7 +129,13 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` that score at least ``threshold``; all columns stay. Rows are judged each by its text, as in ``digest``."""
+    """``docs`` that score at least ``threshold``; all columns stay.
+
+    Rows are judged each by its text, as in ``digest``: null and empty ones as
+    empty, long ones whole, repeated ones alike, whatever their ids. Without
+    usable labels every score is 0.5, so the default threshold keeps nothing.
+    An empty table stays empty.
+    """
     score = scorer(fit(docs, labels))
     rows = docs.select(F.struct("*").alias("row"), score(F.col("text")).alias("score"))
     return rows.where(F.col("score") >= threshold).select("row.*")

@@ -131,7 +131,14 @@ RESULT_ARROW = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Base statistics of every document and the cascade's verdict. A null text has no words and fails."""
+    """Base statistics of every document and the cascade's verdict.
+
+    Null and empty texts have no words and fail; long texts are read whole.
+    Rows that repeat an id or a text have a row each, a null id stays null. An
+    empty table gives an empty one, extra columns are left out. Rules that tie
+    in their estimates are asked in the order of their names; the order never
+    changes a verdict.
+    """
     bounded_batches(docs.sparkSession)
     ordered = order_rules(docs, rules)
 
@@ -150,7 +157,12 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` that pass every rule, with all columns; the cascade stops at a text's first failure."""
+    """``docs`` that pass every rule, with all columns; the cascade stops at a text's first failure.
+
+    Null and empty texts fail. Each row is judged by its own text, so repeated
+    rows stay or go together, null ids play no part, and an empty table stays
+    empty. Ties of rules are as in ``digest``.
+    """
     bounded_batches(docs.sparkSession)
     ordered = order_rules(docs, rules, text_col=text_col)
     at = docs.columns.index(text_col)

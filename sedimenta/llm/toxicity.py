@@ -583,8 +583,11 @@ def restorer(spark: SparkSession, model: np.ndarray):
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
-    Null and empty texts score as texts without a hit do; without usable
-    labels every score is 0.5.
+    Null and empty texts score as texts without a hit do, long ones are read
+    whole; without usable labels every score is 0.5. Repeated rows have a row
+    each, a null id is scored like any other and has no fold (null). Scores at
+    the threshold count as 1; readings that tie are taken in a set order. An
+    empty table gives an empty one, extra columns are left out.
     """
     docs = docs.select("doc_id", "text")
     model = char_model(count_ngrams(docs))
