@@ -88,7 +88,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int
     keys = [r[0] for r in right.where(hot).select(key).collect()]  # fewer than HOT
     if not keys:
         return left.join(right, key)
-    values = [F.struct(*map(F.lit, k)) if isinstance(k, Row) else F.lit(k) for k in keys]
+    kind = left.schema[key].dataType
+    values = [(F.struct(*map(F.lit, k)) if isinstance(k, Row) else F.lit(k)).cast(kind) for k in keys]
     by_shuffle = left.where(~F.col(key).isin(*values)).join(right.where(~hot), key)
     return left.join(F.broadcast(right.where(hot)), key).unionByName(by_shuffle)
 

@@ -87,6 +87,14 @@ def test_copies_by_the_hundred(spark, monkeypatch):
     assert got(prefix_trie.digest(df)) == trie(rebuilt(sequences(rows)))
 
 
+def test_many_siblings(spark, monkeypatch):
+    """The root is a hot parent: of blocks, of nodes, and of what chains hand up."""
+    monkeypatch.setattr(staging, "HOT_ROWS", 3)
+    rows = [(c, k, "user", f"{c % 37} {k}") for c in range(60) for k in range(1 + c % 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert got(prefix_trie.trie_of(df)) == trie(sequences(rows))
+
+
 def test_blocks_without_siblings_are_not_refined(spark):
     """Turn boundaries inside a block that follows its prefix alone are a chain; the others are counted anew."""
     rows = [(c, k, "user", "x" if k < 8 else f"{c}") for c in range(5) for k in range(9)]
