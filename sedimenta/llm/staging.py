@@ -3,38 +3,27 @@
 Staged tables are Parquet folders under ``spark.checkpoint.dir``, the one
 folder that the driver and all executors share. They cut lineage: a lost
 executor costs a re-read, not a recomputation. Each application has its own
-subfolder, which can be removed once its results are written.
+subfolder, which is removed when its driver ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch
+
 #: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 #: A side of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. One is set only where none is and all runs on one machine (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder under the shared one, which goes when the driver ends."""
+    return scratch(spark, label)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -45,14 +34,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_prefix(columns: list[str]) -> str:
-    """A beginning of names that no column has."""
-    prefix = "own_"
-    while any(c.lower().startswith(prefix) for c in columns):
-        prefix += "_"
-    return prefix
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches, unless the session has set a size of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
