@@ -32,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import BROADCAST_BYTES, WordHashes, bounded_batches, join_hot, mix, small_side, stage
+from .staging import BROADCAST_BYTES, bounded_batches, join_hot, mix, small_side, stage
 
 #: The shortest windows have at most so many words.
 SHORTEST = 9
@@ -48,29 +48,59 @@ def lengths(size: int) -> list[int]:
     return out
 
 
+def levels(size: int) -> int:
+    """How many lengths are counted on the way to ``size``: all shorter ones, or the only one."""
+    return max(1, len(lengths(size)) - 1)
+
+
+#: Bytes whose hashes are made at a time, which bounds the memory of a very long text.
+SLICE = 1 << 20
+#: What a byte adds to its word's hash, by a fixed rule; bytes of white space add nothing.
+VALUES = mix(np.arange(1, 257, dtype=np.uint64) * OTHER)
+VALUES[[9, 10, 11, 12, 13, 32]] = 0
+
+
 @lru_cache(maxsize=64)
-def powers(lane: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64."""
-    base = BASES[lane]
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    up = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(most, b, np.uint64)], dtype=np.uint64)
-    return up(base), up(inverse)
+def powers(base: np.uint64, most: int) -> np.ndarray:
+    """``base`` to the power of 0 to ``most``, modulo 2^64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(most, base, np.uint64)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=4)
+def inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' values by powers of a base, summed without a loop over words."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.r_[False, VALUES[b] != 0, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, lo = np.zeros(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE)))
+        at = (starts[lo:hi] - starts[lo]).astype(np.int32)
+        cells = VALUES[b[starts[lo] : ends[hi - 1]]]
+        gaps = np.diff(np.r_[at, np.int32(len(cells))])
+        places = np.arange(len(cells), dtype=np.int32) - np.repeat(at, gaps)
+        out[lo:hi] = np.add.reduceat(cells * powers(BASES[0], 1 << int(gaps.max()).bit_length())[places], at)
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 class Text:
     """Hashes of any word range of one text."""
 
-    def __init__(self, text: str | None, hashes: WordHashes, lanes: int = 1):
-        words = text.encode("utf-8", "surrogatepass").split() if text else []
-        self.n = len(words)
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, self.n)
+    def __init__(self, text: str | None, lanes: int = 1):
+        h = word_hashes(text.encode("utf-8", "surrogatepass")) if text else np.zeros(0, np.uint64)
+        self.n = len(h)
         most = 1 << max(10, self.n.bit_length())
         self.sums, self.back = [], []
-        for lane in range(lanes):
-            up, down = powers(lane, most)
-            cells = (mix(h ^ OTHER) if lane else h) * up[: self.n]
+        for base in BASES[:lanes]:
+            cells = (mix(h ^ OTHER) if self.sums else h) * powers(base, most)[: self.n]
             self.sums.append(np.r_[np.uint64(0), np.cumsum(cells, dtype=np.uint64)])
-            self.back.append(down)
+            self.back.append(powers(inverse(base), most))
 
     def range(self, start: np.ndarray, length: np.ndarray | int, lane: int = 0) -> np.ndarray:
         sums = self.sums[lane]
@@ -78,40 +108,37 @@ class Text:
 
 
 class Runs:
-    """The windows of ``size`` words of a text, in runs that share all shorter windows: by level, their hashes."""
+    """The windows of ``size`` words of a text, in runs that share all shorter windows up to ``level``.
+
+    ``start`` and ``count`` tell a run's windows, ``place`` and ``hash`` its
+    window at ``level``, and ``before`` is the hash of the one at the level below.
+    """
 
-    def __init__(self, text: Text, size: int):
+    def __init__(self, text: Text, size: int, level: int):
         steps = lengths(size)
         n, k = text.n - size + 1, steps[0]
         if n <= 0:
-            self.start = self.count = np.zeros(0, np.int64)
-            self.levels = [np.zeros(0, np.uint64) for _ in steps[:-1] or [0]]
-            self.fresh = [np.zeros(0, bool) for _ in self.levels]
+            self.start = self.count = self.place = np.zeros(0, np.int64)
+            self.hash = self.before = np.zeros(0, np.uint64)
             return
-        at = np.arange(n)
         grams = text.range(np.arange(text.n - k + 1), k)
-        place = at + sliding_window_view(grams, size - k + 1).argmin(1)  # the first of the smallest
-        path, held, before = [place], [grams[place]], k
-        for length in steps[1:-1]:
-            left = place - at >= length - before  # room on the left; else there is room on the right
-            place = np.where(left, place - (length - before), place)
-            held.append(mix(text.range(place, length) + left.astype(np.uint64)) ^ held[-1])
-            path.append(left)
-            before = length
-        new, marks = np.zeros(n, bool), []
-        new[0] = True
-        for p in path:
-            new[1:] |= p[1:] != p[:-1]
-            marks.append(new.copy())
-        self.start = np.flatnonzero(new)
-        self.fresh = [m[self.start] for m in marks]  # where a run's window of the level is not that of the run before
-        self.count = np.diff(np.r_[self.start, n])
-        self.levels = [x[self.start] for x in held]
-        self.offset = (place - at)[self.start]
+        place = np.arange(n) + sliding_window_view(grams, size - k + 1).argmin(1)  # the first of the smallest
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        count, place = np.diff(np.r_[start, n]), place[start]
+        held, before = grams[place], np.zeros(len(start), np.uint64)
+        for shorter, length in zip(steps, steps[1 : level + 1]):
+            more = length - shorter
+            left = np.clip(place - start - more + 1, 0, count)  # the first windows of a run have room on the left, the others on the right
+            both = np.r_[np.flatnonzero(left), np.flatnonzero(count - left)]
+            is_left = np.arange(len(both)) < np.count_nonzero(left)
+            start, count = np.where(is_left, start[both], start[both] + left[both]), np.where(is_left, left[both], count[both] - left[both])
+            place, before = np.where(is_left, place[both] - more, place[both]), held[both]
+            held = mix(text.range(place, length) + is_left.astype(np.uint64)) ^ before
+        self.start, self.count, self.place, self.hash, self.before = start, count, place, held, before
 
     def spans(self, text: Text, size: int, lane: int) -> np.ndarray:
         """Hashes of the words that a run's windows cover, with the place of the half window in them."""
-        return mix(text.range(self.start, self.count + size - 1, lane) + self.offset.astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
+        return mix(text.range(self.start, self.count + size - 1, lane) + (self.place - self.start).astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -122,14 +149,12 @@ def short_windows(docs: DataFrame, size: int, level: int) -> DataFrame:
     """``(before, hash)``: the windows of each run at ``level``, and at the level before it (0 at the first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             before, now = [], []
             for text in b.column(0).to_pylist():
-                r = Runs(Text(text, hashes), size)
-                fresh = r.fresh[level]
-                now.append(r.levels[level][fresh])
-                before.append(r.levels[level - 1][fresh] if level else np.zeros(fresh.sum(), np.uint64))
+                r = Runs(Text(text), size, level)
+                now.append(r.hash)
+                before.append(r.before)
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(before)), _signed(np.concatenate(now))], ["before", "hash"])
 
     return docs.select("text").mapInArrow(run, "before long, hash long")
@@ -142,15 +167,14 @@ def spans(docs: DataFrame, size: int) -> DataFrame:
     """Every run of windows: ``(doc, text_key, half, s1, s2, start, n)`` of rows ``(doc, text_key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             held = []
             for body in b.column(2).to_pylist():
-                text = Text(body, hashes, lanes=2)
-                r = Runs(text, size)
+                text = Text(body, lanes=2)
+                r = Runs(text, size, levels(size) - 1)
                 held.append(len(r.start))
-                for o, x in zip(out, (r.levels[-1], r.spans(text, size, 0), r.spans(text, size, 1), r.start, r.count)):
+                for o, x in zip(out, (r.hash, r.spans(text, size, 0), r.spans(text, size, 1), r.start, r.count)):
                     o.append(x)
             half, s1, s2, start, n = map(np.concatenate, out)
             row = pa.array(np.repeat(np.arange(len(held)), held))
@@ -163,11 +187,10 @@ def windows(docs: DataFrame, size: int) -> DataFrame:
     """The windows of the runs asked for: ``(doc, text_key, w1, w2, at, alone)`` of rows ``(doc, text_key, text, runs)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             held, ats, w1, w2, alone = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for body, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                text = Text(body, hashes, lanes=2)
+                text = Text(body, lanes=2)
                 at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
                 held.append(len(at))
                 ats.append(at)
@@ -198,7 +221,7 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     kept = None
-    for level in range(max(1, len(lengths(size)) - 1)):
+    for level in range(levels(size)):
         found = short_windows(docs, size, level)
         if kept is not None:
             found = found.join(small_side(kept), F.col("before") == F.col("known"))
