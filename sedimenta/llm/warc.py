@@ -43,14 +43,17 @@ def _header(lines: list[tuple[str, object]]) -> bytes:
     return "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', str(v))}\r\n" for k, v in lines if v is not None).encode("utf-8", "surrogatepass")
 
 
-def record(payload: bytes, url: str | None, page: int | None, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit has the HTTP head alone, with the length of the full payload."""
+def record(payload: bytes, url: str | None, page: int | None, refers_to: int | None, date: str, place: str | None = None) -> bytes:
+    """One WARC record; a revisit has the HTTP head alone, with the length of the full payload.
+
+    Its id follows from the page's, and from its ``place`` where the page's does not tell it from others.
+    """
     head = b"HTTP/1.1 200 OK\r\n" + _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))]) + b"\r\n"
     block = head if refers_to is not None else head + payload
     sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
     name = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
     lines = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name(page)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name(page if place is None else f"{page}:{place}")), ("WARC-Date", date), ("WARC-Target-URI", url),
         ("WARC-Profile", PROFILE if refers_to is not None else None), ("WARC-Refers-To", name(refers_to) if refers_to is not None else None),
         ("X-Page-Id", page), ("X-Refers-To-Page-Id", refers_to), ("WARC-Payload-Digest", sha(payload)), ("WARC-Block-Digest", sha(block)),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
@@ -59,11 +62,12 @@ def record(payload: bytes, url: str | None, page: int | None, refers_to: int | N
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """``page_id, url, html, refers_to``: the largest page id with an equal payload, null for that one itself.
+    """``page_id, url, html, refers_to, repeated``: the largest page id with an equal payload, null for that one itself.
 
     Payloads are equal if SHA-1 and length are. Null html is empty. Pages
     without an id, or under ``min_bytes``, refer to none. Rows that repeat the
-    largest id are responses all.
+    largest id are responses all. ``repeated`` marks rows that others share
+    the page id with, and those without one.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     prints = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size"))
@@ -73,7 +77,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     later = join_hot(prints, firsts, "print", "n").where(F.col("page_id") < F.col("refers_to")).select(F.col("page_id").alias("p"), F.col("print.sha").alias("s"), "refers_to").distinct()
     later = small_side(stage(later, "warc-revisits"), width=96)
     joined = pages.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(later, (F.col("page_id") == F.col("p")) & (F.col("sha") == F.col("s")), "left")
-    return joined.select("page_id", "url", "html", "refers_to")
+    many = small_side(stage(pages.groupBy(F.col("page_id").alias("m")).count().where("count > 1").select("m"), "warc-repeated"))
+    marked = joined.join(many, F.col("page_id") == F.col("m"), "left")
+    return marked.select("page_id", "url", "html", "refers_to", (F.col("m").isNotNull() | F.col("page_id").isNull()).alias("repeated"))
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -86,9 +92,11 @@ def qualified(spark: SparkSession, path: str) -> str:
 def write_archives(pages: DataFrame, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``page_id, url, html, refers_to`` rows; returns the staged manifest ``(path, n_records, n_bytes)``.
 
-    Null html is an empty payload; every row has a record, repeated ones too.
+    Null html is an empty payload; every row has a record, repeated ones too,
+    and if ``repeated`` marks them, an id of its own.
     """
     spark = pages.sparkSession
+    pages = pages.select("page_id", "url", "html", "refers_to", "repeated" if "repeated" in pages.columns else F.lit(False).alias("repeated"))
     bounded_batches(spark)
     folder = qualified(spark, new_path(spark, "warc"))
     fields = ["path", "n_records", "n_bytes"]
@@ -98,12 +106,12 @@ def write_archives(pages: DataFrame, date: str = "2020-01-01T00:00:00Z", archive
         fs.create_dir(root, recursive=True)
         out, name, n, size = None, "", 0, 0
         for b in batches:
-            for page, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
+            for page, url, html, refers, repeated in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = record((html or "").encode("utf-8", "surrogatepass"), url, page, refers, date)
+                raw = record((html or "").encode("utf-8", "surrogatepass"), url, page, refers, date, f"{name}:{n}" if repeated else None)
                 size += out.write(data := gz.compress(raw) + gz.flush()) or len(data)
                 n += 1
                 if size >= archive_bytes:

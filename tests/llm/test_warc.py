@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,16 @@ def test_one_task_to_an_archive_and_a_log_of_gaps(spark, tmp_path, monkeypatch):
     records, gaps = W.salvage(manifest, log=f"{tmp_path}/log")
     logged = spark.read.parquet(f"{tmp_path}/log").collect()
     assert records.count() == 39 and gaps.count() == len(logged) == 1 and logged[0]["path"] == paths[0] and logged[0]["reason"]
+
+
+def test_record_ids_are_unique(spark):
+    """Page ids that repeat, are null, or tie with equal payloads."""
+    rows = [(1, "u", "a" * 2000), (1, "u", "b" * 2000), (1, "u", "a" * 2000), (None, "u", "c"), (None, "u", "c"), (2, "u", "a" * 2000), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    ids = []
+    for r in W.write_archives(W.with_revisits(df)).collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(f.read()))
+    assert len(ids) == len(rows) == len(set(ids))
+    told = W.digest(df)
+    assert told.count() == len(rows) and told.where("record_type = 'revisit'").select("page_id", "refers_to").distinct().collect() == [(1, 2)]
