@@ -10,7 +10,8 @@ commit is complete, so there is no log to replay.
 
 A table with ``keys`` and ``buckets`` keeps its rows in hash buckets, each a
 list of pieces. A merge reads and rewrites only pieces that may hold a key of
-its source; with ``index_bits`` a bit index of each piece's keys tells which.
+its source; with ``index_bits`` a bit index of each piece's keys names likely
+ones, and their key columns tell which do.
 With ``current``, the name of a boolean column, only current rows are kept in
 buckets; closed ones go to folders that are appended to and that no merge reads.
 """
@@ -217,7 +218,10 @@ class Table:
         return step(target.repartition(self.buckets, *self.keys), source.repartition(self.buckets, *self.keys))
 
     def _to_read(self, source: DataFrame, commit: dict) -> set[str]:
-        """The pieces that may hold a key of ``source``; at most all that the commit names. Repeated keys raise."""
+        """The pieces that may hold a key of ``source``, with an index those that do; at most all that the commit names. Repeated keys raise.
+
+        Buckets of more than ``MAX_PIECES`` and pieces without an index are read whole.
+        """
         per = source.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)], self._bucket().alias("b")).agg(F.count(F.lit(1)).alias("n"))
         touched = {str(r["b"]): r["n"] for r in per.groupBy("b").agg(F.max("n").alias("n")).collect()}  # at most ``buckets`` rows
         if max(touched.values(), default=1) > 1:
@@ -228,12 +232,30 @@ class Table:
         if not asked:
             return whole
         index = self.spark.read.parquet(*sorted({f"{self.path}/{commit['index'][x]}" for x in asked})).where(F.col("piece").isin(*sorted(asked)))
-        probes = source.select(self._bucket().alias("bucket"), F.xxhash64(*self.keys).alias("key"), F.explode(self._bits()).alias("bit")).distinct()
-        probes = probes.select("bucket", "key", F.shiftright("bit", 6).alias("word"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
+        names = [f"k{i}" for i in range(len(self.keys))]
+        own = [F.col(k).alias(n) for k, n in zip(self.keys, names)]
+        keys = source.select(*own, self._bucket().alias("bucket"), F.array_distinct(self._bits()).alias("bits"))  # two hashes may name one bit
+        probes = keys.select(*names, "bucket", F.size("bits").alias("m"), F.explode("bits").alias("bit"))
+        probes = probes.select(*names, "bucket", "m", F.shiftright("bit", 6).alias("word"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
         hits = probes.join(index, ["bucket", "word"]).where(F.expr("getbit(bits, at)") == 1)
-        per_key = hits.groupBy("piece", "key").agg(F.count(F.lit(1)).alias("n"))
-        wanted = probes.groupBy("key").agg(F.count(F.lit(1)).alias("m"))  # two hashes may name one bit
-        return whole | {r["piece"] for r in per_key.join(wanted, "key").where("n = m").select("piece").distinct().collect()}
+        likely = storage.staged(hits.groupBy("piece", "m", *names).agg(F.count(F.lit(1)).alias("n")).where("n = m").select("piece", *names), "merge-hits")
+        try:
+            return whole | self._that_hold(likely, own, commit)
+        finally:
+            storage.drop_staged(likely)
+
+    def _that_hold(self, likely: DataFrame, own: list[Column], commit: dict) -> set[str]:
+        """The pieces that do hold one of their ``likely`` keys: all the bits of a key can be set by others. Key columns alone are read."""
+        maybe = sorted(r["piece"] for r in likely.select("piece").distinct().collect())
+        if not maybe:
+            return set()
+        levels = maybe[0].count("/") + 1  # folders of a piece below the table's
+        rows = self._files(commit, maybe)
+        path = F.substring_index(rows.metadataColumn("_metadata")["file_path"], "/", -levels - 1)
+        held = rows.select(*[c.alias(f"held{i}") for i, c in enumerate(own)], F.substring_index(path, "/", levels).alias("of"))
+        same = [F.col(f"k{i}").eqNullSafe(F.col(f"held{i}")) for i in range(len(own))]
+        found = likely.join(held, [F.col("piece") == F.col("of"), *same], "left_semi")
+        return {r["piece"] for r in found.select("piece").distinct().collect()}
 
     def _bits(self) -> Column:
         return F.array(*[F.pmod(F.xxhash64(F.lit(i), *self.keys), F.lit(1 << self.index_bits)) for i in range(PROBES)])

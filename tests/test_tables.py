@@ -81,6 +81,20 @@ def test_only_pieces_that_may_hold_a_key_are_read(spark):
     assert table.row_count() == 412
 
 
+@pytest.mark.parametrize("current", [None, "is_current"])
+def test_pieces_whose_index_is_full_are_read_only_if_they_hold_a_key(spark, current):
+    table = table_of(spark, keys=("k", "v"), buckets=2, index_bits=6, current=current)  # 64 bits, all set by the keys of each piece
+    of = lambda keys: keyed(spark, keys, "a").withColumn("is_current", F.lit(True))
+    step = lambda target, source: cdc.scd1_merge(target, source, ["k", "v"], checked=True)
+    table.overwrite(of([*range(0, 400, 2), None]))
+    table.merge(of(range(1, 400, 2)), step)  # all new
+    assert table.commit()["merge"]["read"] == [] and {len(x) for x in table.manifest().values()} == {2}
+    odd = set(table.commit()["merge"]["written"])
+    table.merge(of(range(1, 200, 2)), step)
+    assert set(table.commit()["merge"]["read"]) == odd and table.row_count() == 401
+    assert table.read().groupBy("k").count().where("count > 1").isEmpty()
+
+
 def test_null_keys_and_empty_sources(spark):
     table = table_of(spark, keys=("k",), buckets=3, index_bits=10)
     table.overwrite(keyed(spark, [1, None], "a"))
