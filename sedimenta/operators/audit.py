@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import free_prefix
 from ..functions.scalars import base_name
+from ..sources import storage
 
 #: A dimension of at most this many rows and bytes (as JSON) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
@@ -46,10 +47,15 @@ def top_rated(df: DataFrame, rating: str, *ties: str) -> DataFrame:
 
 
 def with_position(df: DataFrame, name: str) -> DataFrame:
-    """``df``, which is sorted, with each row's place from 1 in ``name``; rows are counted by partition, not gathered."""
+    """``df``, which is sorted, with each row's place from 1 in ``name``; rows are counted by partition, not gathered.
+
+    A sort that runs again may cut its ranges elsewhere, so it runs once: its
+    rows are staged with their places within partitions. They come back in no
+    order; ``name`` tells it.
+    """
     own = free_prefix([*df.columns, name])
-    marked = df.withColumns({f"{own}part": F.spark_partition_id(), f"{own}at": F.monotonically_increasing_id()})
     part, at = F.col(f"{own}part"), F.col(f"{own}at").bitwiseAND(F.lit((1 << 33) - 1))
+    marked = storage.staged(df.withColumns({f"{own}part": F.spark_partition_id(), f"{own}at": F.monotonically_increasing_id()}), "places")
     held = {r[0]: r[1] for r in marked.groupBy(part).agg(F.max(at) + 1).collect()}  # a row for each partition
     before, total = [], 0
     for p in range(max(held, default=-1) + 1):

@@ -203,3 +203,9 @@ def test_places_tell_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), F.lit(1).alias("own_at")).repartition(5)
     assert rows(audit.with_position(df.orderBy("k"), "place").select("place", "k")) == sorted(enumerate(sorted(r["k"] for r in df.collect()), 1), key=str)
     assert audit.with_position(df.limit(0).orderBy("k"), "place").count() == 0
+
+
+def test_places_come_from_one_run_of_the_sort(spark):
+    df = spark.range(0, 1_000_000, 1, 4).select((F.col("id") * 7919 % 1_000_000).alias("k"))  # several partitions, and more rows than a sort samples for its ranges
+    placed = audit.with_position(df.orderBy("k"), "place")
+    assert placed.where("place <> k + 1").isEmpty() and placed.count() == 1_000_000
