@@ -69,6 +69,21 @@ def files_for(df: DataFrame, where: Column, columns: Sequence[str]) -> DataFrame
     return per.agg(F.count(F.lit(1)).alias("files"), F.count_if(where).alias("needed"))
 
 
+def file_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each file behind ``df``, its ``low`` and ``high``: the least and greatest structs of ``keys``, nulls lowest.
+
+    Spark sorts the rows of a task by file to find the least of structs or of
+    texts. So rows are first brought down, by hash, to one for each file and
+    value of all keys but the last, which should be a number or a date; memory
+    follows how many these are, not the rows.
+    """
+    lead, last = [f"k{i}" for i in range(len(keys) - 1)], "last"
+    named = df.select(F.col("_metadata.file_path").alias("file"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keys, [*lead, last])])
+    per = named.groupBy("file", *lead).agg(F.min(last).alias("least"), F.max(last).alias("most"), F.count_if(F.col(last).isNull()).alias("nulls"))
+    low, high = (F.struct(*lead, x.alias(last)) for x in (F.when(F.col("nulls") == 0, F.col("least")), F.col("most")))
+    return per.groupBy("file").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+
+
 def compact_small(table, target_bytes: int, max_share: float = 0.75) -> dict[str, int]:
     """Rewrites the small files of a table without buckets, and those alone, as files of about ``target_bytes``.
 

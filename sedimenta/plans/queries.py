@@ -462,8 +462,7 @@ def title_quality(spark, d):
 
 def compact_ranges(spark, d):
     """Files of a compacted table, and how many of them start before the one before them ends."""
-    rows = _compacted(spark, d).read().select(F.struct("o_orderstatus", "o_orderkey").alias("key"), files.source_file().alias("file"))
-    per = rows.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    per = layout.file_ranges(_compacted(spark, d).read(), ["o_orderstatus", "o_orderkey"])
     held = F.sort_array(F.collect_list(F.struct("low", "high")))  # a row for each of three files
     return per.agg(held.alias("r")).select(F.size("r").cast("long").alias("num_files"), F.expr("size(filter(sequence(1, size(r) - 1), i -> r[i].low <= r[i - 1].high))").cast("long").alias("overlaps"))
 

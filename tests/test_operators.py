@@ -165,6 +165,18 @@ def test_compact(spark):
     assert back.count() == 1000 and layout.table_summary(back).first()["num_files"] == 3
 
 
+def test_file_ranges(spark):
+    path = storage.scratch(spark, "r")
+    values = [(None, 5), ("a", None), ("a", 9), ("b", 1), ("b", None), ("b", -3), ("c", 2), ("c", 2), (None, None), ("", 0), ("a", None), ("a", None)]
+    spark.createDataFrame([(a, b, k % 6) for k, (a, b) in enumerate(values)], "a string, `b.c` int, f int").repartition(5, "f").write.partitionBy("f").parquet(path)
+    back = spark.read.parquet(path)
+    key = F.struct(F.col("a"), F.col("`b.c`"))
+    plain = back.select(F.col("_metadata.file_path").alias("file"), key.alias("key")).groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    assert rows(layout.file_ranges(back, ["a", "b.c"])) == rows(plain) and plain.count() == 6
+    numbers = back.select("*", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.min("f").alias("low"), F.max("f").alias("high"))
+    assert rows(layout.file_ranges(back, ["f"]).select("file", "low.last", "high.last")) == rows(numbers)
+
+
 def test_quantile_ranks_and_z_order(spark):
     values = [None, -5, 0, 3, 3, 7, 8, 9, 100]
     df = spark.createDataFrame([(v, str(v), k) for k, v in enumerate(values)], "a int, b string, c int")

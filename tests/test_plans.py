@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 from sedimenta.plans import queries as Q
 
@@ -37,6 +38,11 @@ def test_small_dimensions_are_broadcast_and_top_k_is_not_sorted_whole(spark):
     assert "TakeOrderedAndProject" in plan(Q.top_k(spark, DIR))
 
 
+def test_ranges_of_files_are_found_without_a_sort_of_their_rows(spark):
+    steps = re.findall(r"^\(\d+\) ([A-Z]\w+)", plan(Q.compact_ranges(spark, DIR)), re.M)
+    assert "Sort" not in steps[: steps.index("HashAggregate")] and steps.index("HashAggregate") < steps.index("Exchange")
+
+
 def test_every_query_has_sql(spark):
     import __spark_entry__ as entry
 
