@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,12 +44,15 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 MASKED = 24
 #: Channel costs in nats: a sign read as a letter, a run of masks read as letters (and again for each that is none), a dropped sign, a shortened run, a pair made single, a word break put in.
 SIGN, MASK, DROP, RUN, PAIR, BREAK = 1.0, 3.3, 4.0, 0.7, 2.5, 3.0
+#: Characters whose n-grams are counted at a time.
+CHUNK = 1 << 18
 #: The model's alphabet: 0 a break, 1-26 a letter without its accents, 27 any other letter.
 SIZE = 28
 
 
 def _fold_table() -> np.ndarray:
-    table = np.zeros(0x250, np.int64)
+    table = np.zeros(0x251, np.int32)
+    table[0x250] = 27  # and for all beyond
     for c in range(0x250):
         if chr(c).isalpha():
             base = unicodedata.normalize("NFKD", chr(c).lower())[0]
@@ -61,7 +65,7 @@ FOLD = _fold_table()
 
 def symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 0x250, FOLD[np.minimum(points, 0x24F)], 27)
+    return FOLD[np.minimum(points, 0x250)]
 
 
 def symbol(ch: str) -> int:
@@ -69,6 +73,31 @@ def symbol(ch: str) -> int:
     return int(FOLD[c]) if c < 0x250 else 27 if ch.isalpha() else 0
 
 
+def ngrams_of(texts: list[str]) -> np.ndarray:
+    """4-gram counts of some texts, each between breaks of its own; blanks part them, so that all are counted at once."""
+    s = symbols(f"   {'    '.join(x.lower() for x in texts)} ")
+    last = s[2:-1]  # nothing before a break counts as context
+    second = np.where(last > 0, s[1:-2], 0)
+    third = np.where(second > 0, s[:-3], 0)
+    out = np.bincount(((third * SIZE + second) * SIZE + last) * SIZE + s[3:], minlength=SIZE**4)
+    out[0] -= 3 * (len(texts) - 1)  # a break after a break, for each blank before a text but the first
+    return out
+
+
+def chunks(texts: list[str | None], most: int) -> Iterator[list[str]]:
+    """The texts that are not empty, in lists of about ``most`` characters."""
+    held, size = [], 0
+    for text in texts:
+        if text:
+            held.append(text)
+            size += len(text)
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Character 4-gram counts over all documents: at most 28^4 numbers, whatever the corpus."""
     bounded_batches(docs.sparkSession)
@@ -76,18 +105,8 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**4, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                s = symbols(f"   {text.lower()} ") if text else ()
-                if len(s):
-                    last = s[2:-1]  # nothing before a break counts as context
-                    second = np.where(last > 0, s[1:-2], 0)
-                    third = np.where(second > 0, s[:-3], 0)
-                    codes = ((third * SIZE + second) * SIZE + last) * SIZE + s[3:]
-                    if len(codes) > SIZE**3:
-                        total += np.bincount(codes, minlength=SIZE**4)
-                    else:
-                        at, n = np.unique(codes, return_counts=True)
-                        total[at] += n
+            for texts in chunks(b.column(0).to_pylist(), CHUNK):
+                total += ngrams_of(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 
@@ -176,18 +195,20 @@ class Decoder:
 
     def readings(self, token: str) -> tuple[str, ...]:
         """A lower-cased token's core as it stands (or ``''``), then the words that its forms are restored to if it is disguised."""
+        plain = plain_word(token)
+        if plain:
+            return (plain,)  # most of a corpus' distinct tokens: not worth a place
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            plain = token.isalpha() and not RUNS.search(token)
-            found = self.known[token] = (token,) if plain else (core_of(token), *dict.fromkeys(w for form in forms(token) for w in self.decode(form).split()))
+            found = self.known[token] = (core_of(token), *dict.fromkeys(w for form in forms(token) for w in self.decode(form).split()))
         return found
 
     def spaced(self, text: str) -> list[str]:
         """Words restored from a lower-cased text's runs of spaced letters."""
-        out = []
-        for m in SPACED.finditer(text):
+        out: list[str] = []
+        for m in SPACED.finditer(text) if SPACED_END.search(text) else ():
             run = re.sub(r"(?<=[\w@$!|+€*])[ .\-_*~](?=[\w@$!|+€*])", "", m[0])
             if len(self.runs) >= 50_000:
                 self.runs.clear()
@@ -322,6 +343,8 @@ def decoder_of(model: np.ndarray) -> Decoder:
 
 #: Three or more single letters or signs with one separator between each two.
 SPACED = re.compile(r"(?<!\S)[\w@$!|+€](?:[ .\-_*~][\w@$!|+€*]){2,}(?![^\s.,;:!?])")
+#: The last three of them, as a faster test of whether a text has any.
+SPACED_END = re.compile(r"[ .\-_*~][\w@$!|+€*][ .\-_*~][\w@$!|+€*](?![^\s.,;:!?])")
 RUNS = re.compile(r"([^\W\d_])\1\1")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 
@@ -334,6 +357,12 @@ def core_of(token: str) -> str:
 PEEL = "".join(c for c in EDGE if c not in LEET and c not in MASKS)
 
 
+def plain_word(token: str) -> str:
+    """A lower-cased token's core if no form of it can be a disguised word, as all are letters without runs; else ``''``."""
+    core = token.strip(PEEL)
+    return core if core.isalpha() and (len(core) - len(set(core)) < 2 or not RUNS.search(core)) else ""
+
+
 def unplain(word: str) -> bool:
     return len(word) > 2 and any(c.isalpha() for c in word) and (not word.isalpha() or RUNS.search(word) is not None)
 
@@ -356,7 +385,7 @@ def disguised(token: str) -> str:
 
 def features(word: str) -> list[str]:
     """The word itself and its beginnings of 3 to 8 letters."""
-    return ["=" + word] + [word[:k] for k in range(3, 9) if len(word) > k] if len(word) > 1 else []
+    return ["=" + word] + [word[:k] for k in range(3, min(9, len(word)))] if len(word) > 1 else []
 
 
 def squeezed(word: str) -> str:
@@ -369,6 +398,7 @@ class Lexicon:
     def __init__(self, weight: dict[str, float] | None = None):
         self.weight = weight or {}
         self.loose = {squeezed(f[1:]): (f, w) for f, w in self.weight.items() if f[0] == "="}
+        self.heads = {f.removeprefix("=")[:3] for f in self.weight}  # a plain word with another beginning has no entry
 
     def best(self, words: list[str], restored: list[str]) -> tuple[str, float] | None:
         """The most telling entry of these words; restored ones may differ in doubled letters."""
@@ -389,6 +419,11 @@ def worth(n: int) -> float:
     return n * (SATURATION + 1) / (n + SATURATION)
 
 
+@lru_cache(maxsize=10_000)
+def thousandths(n: int) -> int:
+    return round(1000 * worth(n))
+
+
 class Reader(dict):
     """Token -> the lexicon entry it is read as, or None; remembered up to a bound."""
 
@@ -401,17 +436,24 @@ class Reader(dict):
     def __missing__(self, token: str) -> tuple[str, float] | None:
         if len(self) >= self.LIMIT:
             self.clear()
-        core, *restored = self.decoder.readings(token)
-        value = self[token] = self.lexicon.best([core], restored)
+        core = plain_word(token)
+        if core:
+            value = self.lexicon.best([core], []) if core[:3] in self.lexicon.heads else None
+        else:
+            core, *restored = self.decoder.readings(token)
+            value = self.lexicon.best([core], restored)
+        self[token] = value
         return value
 
     def words(self, text: str | None) -> Counter:
         """All plain words of a text as they stand, and those restored, with their counts."""
         text, out = (text or "").lower(), Counter()
+        get = out.get
         for token, n in Counter(text.split()).items():
-            for w in set(self.decoder.readings(token)):
+            plain = plain_word(token)
+            for w in (plain,) if plain else set(self.decoder.readings(token)):
                 if w:
-                    out[w] += n
+                    out[w] = get(w, 0) + n
         out.update(self.decoder.spaced(text))
         return out
 
@@ -500,11 +542,12 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
     shared = spark.sparkContext.broadcast(model)  # 28^4 numbers
     kept = spark.sparkContext.broadcast(distinct_rows(rows, max_train))  # at most max_train ids
 
-    def counted(text: str | None, reader: Reader) -> Counter:
-        n: Counter = Counter()
+    def counted(text: str | None, reader: Reader) -> dict[str, int]:
+        n: dict[str, int] = {}
+        get = n.get
         for w, c in reader.words(text).items():
             for f in features(w):
-                n[f] += c
+                n[f] = get(f, 0) + c
         return n
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +566,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int =
                 if doc in kept.value:
                     size[y] += len((text or "").split())
                     mine = counted(text, reader)
-                    seen[y].update({f: round(1000 * worth(c)) for f, c in mine.items()})
+                    sums, get = seen[y], seen[y].get
+                    for f, c in mine.items():
+                        sums[f] = get(f, 0) + thousandths(c)
                     if y:
                         seen[2].update(mine.keys())
             if len(seen[0]) + len(seen[1]) > 500_000:

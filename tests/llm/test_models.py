@@ -97,6 +97,36 @@ def test_restored_words_meet_beginnings():
     assert lexicon.best([""], ["worthles"]) == ("worthles", 5.0) and lexicon.best(["worthles"], []) is None
 
 
+def test_plain_words_are_not_decoded():
+    """They take a lookup alone and no place in the decoder; what is read is what the longer way gives."""
+    lexicon = toxicity.Lexicon({"=idiot": 2.0, "idio": 1.0, "=ab": 3.0, "worthles": 5.0})
+    reader = toxicity.Reader(np.full((toxicity.SIZE,) * 4, -3.0, np.float32), lexicon)
+    decoder = reader.decoder
+    decoder.known.clear()
+    plain = ["idiot", "[idiot]", "idiots,", "idi", "ab", "a", "été.", "worthless;", "ii", "other", "„aab“", "aabbcc"]
+    for token in plain:
+        assert reader[token] == lexicon.best([toxicity.core_of(token)], []) and decoder.readings(token) == (toxicity.core_of(token),), token
+        assert not toxicity.forms(token), token
+    assert not decoder.known and dict(reader.words(" ".join(plain)))["idiot"] == 2
+    odd = ["id1ot", "idiiiot.", "idiot***", "idiot!", "(idiot", "@", "12", "...", "", "x1", "i.d", "éé3", "idiot$,"]
+    assert all((toxicity.plain_word(t) == "") == (bool(toxicity.forms(t)) or not toxicity.core_of(t).isalpha()) for t in plain + odd)
+    assert [reader[t] for t in odd] == [lexicon.best([decoder.readings(t)[0]], list(decoder.readings(t)[1:])) for t in odd] and set(decoder.known) <= set(odd)
+    spaced = ["a b c", "x a-b.c!", "a b cd", "i.d.i", "e f g, h", "no", "u *s *t", "a b  c", "k\nl m n"]
+    for text in spaced:
+        assert toxicity.SPACED_END.search(text) or not toxicity.SPACED.search(text), text
+
+
+def test_ngrams_of_many_texts():
+    """Counted at once as one by one, whatever ends or begins a text."""
+    texts = ["The cat", " a  b ", "", None, "\n", "été ЖЖ x", "a", "İ\ud800b", "xyz " * 50]
+    alone = sum(toxicity.ngrams_of([t]) for t in texts if t)
+    for most in (1, 20, 1000):
+        parts = list(toxicity.chunks(texts, most))
+        assert [t for p in parts for t in p] == [t for t in texts if t]
+        assert (sum(map(toxicity.ngrams_of, parts)) == alone).all()
+    assert alone.sum() == sum(len(t.lower()) + 1 for t in texts if t) and not list(toxicity.chunks(["", None], 5))
+
+
 def test_edges_reach_the_lattice(spark):
     words = "stupid scum trass worthless ass asshole fuck shit idiot cunt"
     decoder = toxicity.Decoder(toxicity.char_model(toxicity.count_ngrams(spark.createDataFrame([(1, f"{words} " * 300)], DOCS))))
