@@ -28,7 +28,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +53,13 @@ def levels(size: int) -> int:
 
 
 #: Bytes whose hashes are made at a time, which bounds the memory of a very long text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: What a byte adds to its word's hash, by a fixed rule; bytes of white space add nothing.
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * OTHER)
 VALUES[[9, 10, 11, 12, 13, 32]] = 0
+INSIDE = VALUES != 0
+#: Characters of the texts that are hashed together: each step's fixed cost is shared by them, and its arrays fit a core's cache.
+GROUP = 1 << 17
 
 
 @lru_cache(maxsize=64)
@@ -71,35 +73,59 @@ def inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes' values by powers of a base, summed without a loop over words."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it starts: its bytes' values by powers of a base, summed without a loop over words."""
     b = np.frombuffer(data, np.uint8)
-    inside = np.r_[False, VALUES[b] != 0, False]
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = INSIDE[b]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     out, lo = np.zeros(len(starts), np.uint64), 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE)))
-        at = (starts[lo:hi] - starts[lo]).astype(np.int32)
         cells = VALUES[b[starts[lo] : ends[hi - 1]]]
-        gaps = np.diff(np.r_[at, np.int32(len(cells))])
-        places = np.arange(len(cells), dtype=np.int32) - np.repeat(at, gaps)
-        out[lo:hi] = np.add.reduceat(cells * powers(BASES[0], 1 << int(gaps.max()).bit_length())[places], at)
+        most = 1 << max(10, len(cells).bit_length())
+        cells *= powers(BASES[0], most)[: len(cells)]
+        sums = running(cells)
+        at = starts[lo:hi] - starts[lo]
+        out[lo:hi] = (sums[ends[lo:hi] - starts[lo]] - sums[at]) * powers(inverse(BASES[0]), most)[at]
         lo = hi
-    return mix(out + (ends - starts).astype(np.uint64))
+    return mix(out + (ends - starts).astype(np.uint64)), starts
 
 
-class Text:
-    """Hashes of any word range of one text."""
+def running(cells: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... ``cells``."""
+    out = np.zeros(len(cells) + 1, np.uint64)
+    np.cumsum(cells, out=out[1:])
+    return out
+
+
+def groups(bodies: list[str | None]) -> Iterator[slice]:
+    """Parts of the list of about ``GROUP`` characters, a text at least."""
+    lo = size = 0
+    for hi, body in enumerate(bodies, 1):
+        size += len(body or "")
+        if size >= GROUP or hi == len(bodies):
+            yield slice(lo, hi)
+            lo, size = hi, 0
+
+
+class Texts:
+    """Hashes of any word range of some texts, whose words are numbered through; text ``k`` has those from ``first[k]`` up to ``first[k + 1]``.
 
-    def __init__(self, text: str | None, lanes: int = 1):
-        h = word_hashes(text.encode("utf-8", "surrogatepass")) if text else np.zeros(0, np.uint64)
+    A range's hash does not depend on where the range is, nor on the texts beside its own.
+    """
+
+    def __init__(self, bodies: list[str | None], lanes: int = 1):
+        data = [(x or "").encode("utf-8", "surrogatepass") for x in bodies]
+        h, starts = word_hashes(b" ".join(data))
         self.n = len(h)
+        self.first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in data)]))
+        self.owner = np.repeat(np.arange(len(data)), np.diff(self.first))
         most = 1 << max(10, self.n.bit_length())
         self.sums, self.back = [], []
         for base in BASES[:lanes]:
-            cells = (mix(h ^ OTHER) if self.sums else h) * powers(base, most)[: self.n]
-            self.sums.append(np.r_[np.uint64(0), np.cumsum(cells, dtype=np.uint64)])
+            self.sums.append(running((mix(h ^ OTHER) if self.sums else h) * powers(base, most)[: self.n]))
             self.back.append(powers(inverse(base), most))
 
     def range(self, start: np.ndarray, length: np.ndarray | int, lane: int = 0) -> np.ndarray:
@@ -107,36 +133,48 @@ class Text:
         return mix((sums[start + length] - sums[start]) * self.back[lane][start] + np.asarray(length).astype(np.uint64))
 
 
+def first_smallest(x: np.ndarray, width: int) -> np.ndarray:
+    """Where in ``x`` the smallest of each ``width`` values that follow each other is, the first of equals; by doubling."""
+    at, held = np.arange(len(x), dtype=np.int32), 1
+    while held < width:
+        step = min(held, width - held)
+        later = x[step:] < x[:-step]
+        x, at = np.where(later, x[step:], x[:-step]), np.where(later, at[step:], at[:-step])
+        held += step
+    return at.astype(np.int64)
+
+
 class Runs:
-    """The windows of ``size`` words of a text, in runs that share all shorter windows up to ``level``.
+    """The windows of ``size`` words of some texts, in runs that share all shorter windows up to ``level``, by ``start``.
 
     ``start`` and ``count`` tell a run's windows, ``place`` and ``hash`` its
     window at ``level``, and ``before`` is the hash of the one at the level below.
     """
 
-    def __init__(self, text: Text, size: int, level: int):
+    def __init__(self, text: Texts, size: int, level: int):
         steps = lengths(size)
         n, k = text.n - size + 1, steps[0]
-        if n <= 0:
+        whole = np.flatnonzero(text.owner[: max(0, n)] == text.owner[size - 1 :])  # windows of one text
+        if not len(whole):
             self.start = self.count = self.place = np.zeros(0, np.int64)
             self.hash = self.before = np.zeros(0, np.uint64)
             return
         grams = text.range(np.arange(text.n - k + 1), k)
-        place = np.arange(n) + sliding_window_view(grams, size - k + 1).argmin(1)  # the first of the smallest
-        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        count, place = np.diff(np.r_[start, n]), place[start]
+        place = first_smallest(grams, size - k + 1)[whole]
+        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # windows of two texts have no place in common
+        start, count, place = whole[new], np.diff(np.r_[new, len(whole)]), place[new]
         held, before = grams[place], np.zeros(len(start), np.uint64)
         for shorter, length in zip(steps, steps[1 : level + 1]):
             more = length - shorter
             left = np.clip(place - start - more + 1, 0, count)  # the first windows of a run have room on the left, the others on the right
-            both = np.r_[np.flatnonzero(left), np.flatnonzero(count - left)]
-            is_left = np.arange(len(both)) < np.count_nonzero(left)
+            both, side = np.nonzero(np.stack((left > 0, left < count), axis=1))
+            is_left = side == 0
             start, count = np.where(is_left, start[both], start[both] + left[both]), np.where(is_left, left[both], count[both] - left[both])
             place, before = np.where(is_left, place[both] - more, place[both]), held[both]
             held = mix(text.range(place, length) + is_left.astype(np.uint64)) ^ before
         self.start, self.count, self.place, self.hash, self.before = start, count, place, held, before
 
-    def spans(self, text: Text, size: int, lane: int) -> np.ndarray:
+    def spans(self, text: Texts, size: int, lane: int) -> np.ndarray:
         """Hashes of the words that a run's windows cover, with the place of the half window in them."""
         return mix(text.range(self.start, self.count + size - 1, lane) + (self.place - self.start).astype(np.uint64)) if len(self.start) else np.zeros(0, np.uint64)
 
@@ -151,11 +189,13 @@ def short_windows(docs: DataFrame, size: int, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             before, now = [], []
-            for text in b.column(0).to_pylist():
-                r = Runs(Text(text), size, level)
+            bodies = b.column(0).to_pylist()
+            for part in groups(bodies):
+                r = Runs(Texts(bodies[part]), size, level)
                 now.append(r.hash)
                 before.append(r.before)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(before)), _signed(np.concatenate(now))], ["before", "hash"])
+            if now:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(before)), _signed(np.concatenate(now))], ["before", "hash"])
 
     return docs.select("text").mapInArrow(run, "before long, hash long")
 
@@ -168,16 +208,18 @@ def spans(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            held = []
-            for body in b.column(2).to_pylist():
-                text = Text(body, lanes=2)
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            bodies = b.column(2).to_pylist()
+            for part in groups(bodies):
+                text = Texts(bodies[part], lanes=2)
                 r = Runs(text, size, levels(size) - 1)
-                held.append(len(r.start))
-                for o, x in zip(out, (r.hash, r.spans(text, size, 0), r.spans(text, size, 1), r.start, r.count)):
+                owner = text.owner[r.start]
+                for o, x in zip(out, (part.start + owner, r.hash, r.spans(text, size, 0), r.spans(text, size, 1), r.start - text.first[owner], r.count)):
                     o.append(x)
-            half, s1, s2, start, n = map(np.concatenate, out)
-            row = pa.array(np.repeat(np.arange(len(held)), held))
+            if not bodies:
+                continue
+            row, half, s1, s2, start, n = map(np.concatenate, out)
+            row = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), _signed(half), _signed(s1), _signed(s2), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "text_key", "half", "s1", "s2", "start", "n"])
 
     return docs.select("doc", "text_key", "text").mapInArrow(run, SPANS)
@@ -188,17 +230,18 @@ def windows(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, ats, w1, w2, alone = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for body, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                text = Text(body, lanes=2)
-                at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
-                held.append(len(at))
-                ats.append(at)
-                w1.append(text.range(at, size, 0))
-                w2.append(text.range(at, size, 1))
-                alone.append(np.repeat([r["alone"] for r in runs], [r["n"] for r in runs]))
-            row = pa.array(np.repeat(np.arange(len(held)), held))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), _signed(np.concatenate(w1)), _signed(np.concatenate(w2)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(alone))], ["doc", "text_key", "w1", "w2", "at", "alone"])
+            bodies, runs = b.column(2).to_pylist(), b.column(3)
+            start, n, alone = (runs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "alone"))
+            row = np.repeat(np.arange(len(bodies)), runs.value_lengths().to_numpy())
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row, alone = np.repeat(row, n), np.repeat(alone, n)
+            w1, w2 = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+            for part in groups(bodies):
+                text, mine = Texts(bodies[part], lanes=2), slice(*np.searchsorted(row, (part.start, part.stop)))
+                words = at[mine] + text.first[row[mine] - part.start]
+                w1[mine], w2[mine] = text.range(words, size, 0), text.range(words, size, 1)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), _signed(w1), _signed(w2), pa.array(at.astype(np.int32)), pa.array(alone)], ["doc", "text_key", "w1", "w2", "at", "alone"])
 
     return docs.mapInArrow(run, "doc long, text_key long, w1 long, w2 long, at int, alone boolean")
 

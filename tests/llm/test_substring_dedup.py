@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,44 @@ def test_hot_windows_are_split(spark, monkeypatch):
     docs = [(k, f"{' '.join(f'a{k}.{i}' for i in range(k % 30))} {passage} {' '.join(f'b{k}.{i}' for i in range(20))}") for k in range(60)] + [(60, passage), (61, passage)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert sorted((tuple(x) for x in substring_dedup.digest(df).collect()), key=str) == told(docs, 35)
+
+
+@pytest.mark.parametrize("size", [1, 9, 10, 35, 80])
+def test_texts_hashed_together_as_one_by_one(monkeypatch, size):
+    """Words, runs and spans of a text are the same whatever stands beside it, and the texts are in fact hashed together."""
+    texts = [None, "", *made(7, size), " \n ", "z\x00ß " * 50, None, "w " * 300]
+    level = substring_dedup.levels(size) - 1
+
+    def told(parts):
+        out, k = [], 0
+        for part in parts:
+            text = substring_dedup.Texts(part, lanes=2)
+            r = substring_dedup.Runs(text, size, level)
+            owner = text.owner[r.start]
+            assert (np.diff(r.start) > 0).all() and (r.start + r.count + size - 1 <= text.first[owner + 1]).all()
+            out += zip((k + owner).tolist(), (r.start - text.first[owner]).tolist(), r.count.tolist(), r.hash.tolist(), r.before.tolist(), r.spans(text, size, 0).tolist(), r.spans(text, size, 1).tolist())
+            k += len(part)
+        assert k == len(texts)
+        return out
+
+    alone = told([[t] for t in texts])
+    counts = [0] * len(texts)
+    for k, _, n, *_ in alone:
+        counts[k] += n
+    assert counts == [max(0, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) - size + 1) for t in texts]
+    for most in (1, 300, 1 << 17):
+        monkeypatch.setattr(substring_dedup, "GROUP", most)
+        parts = [texts[p] for p in substring_dedup.groups(texts)]
+        assert told(parts) == alone and (most > 300 or len(parts) > 1)
+    monkeypatch.setattr(substring_dedup, "SLICE", 7)
+    assert told([texts]) == alone
+    made_for, plain = [], substring_dedup.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda data: made_for.append(data) or plain(data))
+    told(parts)
+    assert len(made_for) == len(parts) < len(texts)
+
+
+def test_first_smallest():
+    x = np.array([5, 3, 3, 9, 1, 1, 7, 0, 2, 2], np.uint64)
+    for width in range(1, 11):
+        assert substring_dedup.first_smallest(x, width).tolist() == [i + int(x[i : i + width].argmin()) for i in range(len(x) - width + 1)]
